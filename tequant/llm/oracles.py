@@ -18,14 +18,14 @@ _FAILS = {
 
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
- w AS (SELECT r, doc_id, t, regexp_extract_all(t, {_W}) AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ w AS (SELECT r, doc_id, t, regexp_extract_all(t, {_W}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
  g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
  c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
  p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY r),
  m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
-   len(list_filter(w, x -> x IN ('|', '-', '*', '•', '/', '=', '~'))) AS n_bare, length(t) - length(replace(t, '!', '')) AS n_marks
+   len(list_filter(w, lambda x: x IN ('|', '-', '*', '•', '/', '=', '~'))) AS n_bare, length(t) - length(replace(t, '!', '')) AS n_marks
   FROM w LEFT JOIN p USING (r)),
  f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {_FAILS[k]} THEN {b} ELSE 0 END" for k, b in BITS.items())} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f

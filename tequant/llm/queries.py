@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tequant.llm import html_text, quality, urls
+from tequant.llm import html_text, quality, simhash, urls
 from tequant.llm.common import table
 
 POLICY = quality.POLICIES["prose-1"]
@@ -39,3 +39,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op9_url_filter": op9_url_filter,
 }
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op6_simhash"] = op6_simhash
