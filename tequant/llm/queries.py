@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tequant.llm import html_text, quality, simhash, urls
-from tequant.llm.common import table
+from tequant.llm import html_text, licenses, quality, simhash, token_store, urls
+from tequant.llm.common import shared_dir, table
 
 POLICY = quality.POLICIES["prose-1"]
 URL_RULES = (
@@ -34,16 +36,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, key="page_id").select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_html_text": op2_html_text,
-    "op3_quality_rules": op3_quality_rules,
-    "op9_url_filter": op9_url_filter,
-}
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES["op6_simhash"] = op6_simhash
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tequant/tokens-{uuid.uuid4().hex}"
+    token_store.save(token_store.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
+    return token_store.digest(spark.read.parquet(path))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_quality_rules, op4_license_scan, op6_simhash, op9_url_filter, op10_token_store)}
