@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,11 @@ def ascii_lower(c):
 def let(value, body):
     """``body(value)`` with ``value`` computed once, however often the body reads it."""
     return F.transform(F.array(value), body)[0]
+
+
+def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    """(first column, second column) of each row; few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            some = b.slice(at, rows)
+            yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)

@@ -17,18 +17,24 @@ its own.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tequant.llm.common import texts
+
 # Simple-8b's (count, width) by selector; here 0 is the escape, and 15 a run of zeros.
 LAYOUT = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (240, 0))
 BLOCK_IDS = 1 << 17
@@ -126,36 +132,81 @@ def read_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level vocabularies spell each byte as a character: printable ones as themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
     """Ids of whole texts with the tokenizers library, asked once for each distinct chunk.
 
     A byte-level BPE of this family first splits a text before every single space that a word follows and around longer white space,
     and no merge crosses such a split; so a text's ids are its chunks' ids in order. Texts that hold an added token's string go to the
-    library whole. At most ``limit`` chunks are remembered.
+    library whole. At most ``limit`` chunks are remembered: when there are more, those met once since the last time go.
     """
 
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed value: the byte-level split
     CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
-    def __init__(self, definition: str, limit: int = 500_000):
+    def __init__(self, definition: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        self.bytes = byte_alphabet()
+        pieces = json.loads(definition)
+        kind = (pieces.get("pre_tokenizer") or {}).get("type"), (pieces.get("pre_tokenizer") or {}).get("add_prefix_space"), pieces.get("normalizer")
+        self.plain = "\u0250" if kind == ("ByteLevel", False, None) else ""  # characters below this take the short way
         self.limit = limit
-        self.forget()
+        self.place: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.starts, self.sizes, self.hits = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    @classmethod
+    def of_worker(cls, definition: str) -> Encoder:
+        """The encoder that this Python worker keeps from task to task, so that its memory stays warm."""
+        held = sys.__dict__.setdefault("_tequant_encoders", {})
+        key = zlib.crc32(definition.encode())
+        if key not in held:
+            held.clear()
+            held[key] = cls(definition)
+        return held[key]
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        n = len(self.place)
+        kept = [(c, i) for c, i in self.place.items() if self.hits[i] > 1]
+        if 2 * len(kept) > self.limit:
+            kept = []
+        at = np.array([i for _, i in kept], np.int64)
+        ids = self.flat[self._spread(at)]
+        self.place = {c: k for k, (c, _) in enumerate(kept)}
+        sizes = self.sizes[at]
+        self.sizes[: len(at)], self.hits[:n] = sizes, 0
+        self.starts[: len(at)] = np.cumsum(sizes) - sizes
+        self.flat[: len(ids)], self.used = ids, len(ids)
+
+    def _spread(self, at: np.ndarray) -> np.ndarray:
+        """Where the ids of the chunks are, one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+    def _merged(self, chunk: str) -> list[int]:
+        """A chunk of European letters: its split is plain, so the library's model is asked for each part without the rest of it."""
+        return [t.id for part in self.PARTS.findall(chunk) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+        found = [self._merged(c) if c < self.plain and max(c) < self.plain else None for c in chunks]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(rest, self.library.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
         n, more = len(self.place), sum(map(len, found))
         while self.used + more > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         while n + len(chunks) > len(self.starts):
-            self.starts, self.sizes = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.sizes, np.zeros_like(self.sizes)]
+            self.starts, self.sizes, self.hits = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.sizes, self.hits))
         sizes = np.array([len(x) for x in found], np.int64)
         self.flat[self.used : self.used + more] = [i for x in found for i in x]
         self.sizes[n : n + len(chunks)] = sizes
@@ -174,40 +225,38 @@ class Encoder:
             self._learn([c for c in dict.fromkeys(chunks) if c not in self.place])
             at = list(map(self.place.get, chunks))
         at = np.array(at, np.int64)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
+        self.hits[at] += 1
+        return self.flat[self._spread(at)]
 
 
 def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The rows of the store, in ascending document id; written by ``save``."""
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))  # a tokenizer's file: its size is fixed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard = Encoder(definition.value), TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, shard = Encoder.of_worker(definition.value), TaskContext.get().partitionId()
         keys, parts, held, block, first = [], [], 0, 0, 0
 
-        def row() -> pd.DataFrame:
+        def row() -> pa.RecordBatch:
             payload = write_block(keys, [len(p) for p in parts], np.concatenate(parts))
-            return pd.DataFrame({"shard": [shard], "block": [block], "first": [first], "n_ids": [held], "payload": [payload]})
-
-        for b in batches:
-            for k, null, t in zip(b["_k"], b["_n"], b["_t"], strict=True):
-                ids = np.r_[encoder.encode(t), np.uint32(end_id)].astype(np.uint32)
-                if held and held + len(ids) > block_ids:
-                    yield row()
-                    first, block = first + held, block + 1
-                    keys, parts, held = [], [], 0
-                keys.append(None if null else int(k))
-                parts.append(ids)
-                held += len(ids)
+            values = {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first": [first], "n_ids": [held], "payload": pa.array([payload], pa.binary())}
+            return pa.RecordBatch.from_pydict(values)
+
+        for k, t in texts(batches):
+            ids = np.r_[encoder.encode(t or ""), np.uint32(end_id)].astype(np.uint32)
+            if held and held + len(ids) > block_ids:
+                yield row()
+                first, block = first + held, block + 1
+                keys, parts, held = [], [], 0
+            keys.append(k)
+            parts.append(ids)
+            held += len(ids)
         if held:
             yield row()
 
-    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(0)).alias("_k"), docs[key].isNull().alias("_n"), F.coalesce(docs[text], F.lit("")).alias("_t"))
-    ordered = rows.repartitionByRange(F.desc("_n"), "_k").sortWithinPartitions(F.desc("_n"), "_k", "_t")
-    return ordered.mapInPandas(run, "shard int, block int, first long, n_ids long, payload binary")
+    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
+    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")  # nulls first
+    return ordered.mapInArrow(run, "shard int, block int, first long, n_ids long, payload binary")
 
 
 def save(store: DataFrame, path: str) -> None:
