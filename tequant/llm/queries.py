@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tequant.llm import html_text, licenses, quality, simhash, token_store, urls
+from tequant.llm import decontam, html_text, licenses, pii, quality, simhash, token_store, urls
 from tequant.llm.common import shared_dir, table
 
 POLICY = quality.POLICIES["prose-1"]
@@ -51,4 +51,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_quality_rules, op4_license_scan, op6_simhash, op9_url_filter, op10_token_store)}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s.kind == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *(of(k) for k in ("email", "ip", "card", "phone")), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_license_scan, op5_pii, op6_simhash, op9_url_filter, op10_token_store)}
