@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tequant.llm import decontam, html_text, licenses, pii, quality, simhash, token_store, urls
+from tequant.llm import decontam, html_text, licenses, ngram_lm, pieces, pii, quality, simhash, token_store, urls
 from tequant.llm.common import shared_dir, table
 
 POLICY = quality.POLICIES["prose-1"]
@@ -61,4 +61,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(of(k) for k in ("email", "ip", "card", "phone")), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_license_scan, op5_pii, op6_simhash, op9_url_filter, op10_token_store)}
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_license_scan, op5_pii, op6_simhash, op7_pieces, op8_lm_scores, op9_url_filter, op10_token_store)}
