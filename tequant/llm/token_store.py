@@ -149,7 +149,7 @@ class Encoder:
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed value: the byte-level split
     CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
-    def __init__(self, definition: str, limit: int = 600_000):
+    def __init__(self, definition: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
@@ -198,7 +198,7 @@ class Encoder:
         return [t.id for part in self.PARTS.findall(chunk) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = [self._merged(c) if c < self.plain and max(c) < self.plain else None for c in chunks]
+        found = [self._merged(c) if self.plain and (c.isascii() or max(c) < self.plain) else None for c in chunks]
         rest = [k for k, ids in enumerate(found) if ids is None]
         for k, e in zip(rest, self.library.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
             found[k] = e.ids
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))  # a tokenizer's file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder.of_worker(definition.value), TaskContext.get().partitionId()
+        encoder, shard, end = Encoder.of_worker(definition.value), TaskContext.get().partitionId(), np.uint32(end_id)
         keys, parts, held, block, first = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
             return pa.RecordBatch.from_pydict(values)
 
         for k, t in texts(batches):
-            ids = np.r_[encoder.encode(t or ""), np.uint32(end_id)].astype(np.uint32)
+            ids = np.append(encoder.encode(t or ""), end).astype(np.uint32, copy=False)
             if held and held + len(ids) > block_ids:
                 yield row()
                 first, block = first + held, block + 1
