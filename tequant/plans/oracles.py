@@ -109,8 +109,8 @@ ORACLES: dict[str, str] = {
         *_TO_EC, _EDGE, _COMP, _UNIT, recursive=True,
     ),
     "unique_counts_no_umi": _q('SELECT cb, fs[1] AS feature_id, CAST(count(*) AS DOUBLE) AS "count" FROM u WHERE len(fs) = 1 GROUP BY ALL', *_NOUMI),
-    "em_one_step": _em(1, "SELECT cb, f AS feature_id, round_even(CAST(p AS DOUBLE) * 1e12, 0) / 1e12 AS p FROM {p}"),
-    "em_fixed5": _em(5, "SELECT cb, f AS feature_id, round_even(CAST(p AS DOUBLE) * 1e9, 0) / 1e9 AS p FROM {p}"),
+    "em_one_step": _em(1, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),
+    "em_fixed5": _em(5, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),
     "em_loglik": _em(1, "SELECT cb, round_even(CAST(sum(ln(s + 2.220446049250313e-16)) AS DOUBLE), 3) AS loglik FROM (SELECT m.cb, m.u, sum(p) AS s FROM m JOIN {p} USING (cb, f) GROUP BY m.cb, m.u) GROUP BY cb"),
     "counts_no_umi_k5": _em(
         5,
