@@ -16,7 +16,7 @@ empty result; other columns of the input are ignored. Ids are integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -29,6 +29,8 @@ from tequant.llm.common import cut
 from tequant.llm.components import components
 
 BLOCK = 2048
+POSTINGS = 500_000  # of a partition, about
+LONG_KEYS = 1 << 20  # so many keys with long lists are broadcast, 16 bytes each; beyond that they are joined by a shuffle
 CHUNK = 1 << 16
 
 
@@ -48,19 +50,19 @@ def _digests64(parts: list[bytes]) -> bytes:
     return b"".join([h(p, 42) for p in parts])
 
 
-def _digests256(parts: list[bytes]) -> bytes:
-    h = xxhash.xxh3_128_digest
-    return b"".join([h(p, seed) for p in parts for seed in (42, 43)])
+def _digests_wide(parts: list[bytes], longs: int) -> bytes:
+    h, seeds = xxhash.xxh3_128_digest, range(42, 42 + longs // 2)
+    return b"".join([h(p, seed) for p in parts for seed in seeds])
 
 
 def fingerprint(text: str | None, size: int = 3, longs: int = 1) -> np.ndarray:
-    """``longs`` unsigned 64-bit words: a bit is set if over half the shingles' hashes have it."""
+    """``longs`` unsigned 64-bit words (1, or an even number): a bit is set if over half the shingles' hashes have it."""
     parts = shingles(text, size)
     counts = np.zeros(64 * longs, np.int64)
-    digests = {1: _digests64, 4: _digests256}[longs]
     for at in range(0, len(parts), CHUNK):
         some = parts[at : at + CHUNK]
-        counts += np.unpackbits(np.frombuffer(digests(some), np.uint8).reshape(len(some), 8 * longs), axis=1).sum(0, dtype=np.int64)
+        digests = _digests64(some) if longs == 1 else _digests_wide(some, longs)
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(some), 8 * longs), axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * counts > len(parts)).view(">u8").astype(np.uint64)
 
 
@@ -96,6 +98,11 @@ def sampled(n_bytes: int, width: int, count: int) -> list[tuple[int, ...]]:
     return out[:count]
 
 
+def similar_sets(entries: int) -> list[tuple[int, ...]]:
+    """Sets for 512 bits and a similarity of 0.8: of pairs within 86 bits both list about 19 in 20; the longer keys keep the lists of large inputs short."""
+    return sampled(64, 2, 48) if entries < 1 << 24 else sampled(64, 3, 224)
+
+
 def posting_keys(sets: list[tuple[int, ...]]) -> Column:
     """An array with one long per set: its number, then the bytes at its positions."""
     byte = lambda p: F.shiftright(F.col(f"f{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("long"))
@@ -140,6 +147,8 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, shared: int) -> np.ndarray:
 def forest(group: np.ndarray, side: np.ndarray, node: np.ndarray, f: np.ndarray, radius: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the entries of each group, as (node, root) of a forest. side: 0 pairs with 0 and 1; 1 pairs with 0 only, so that
     a pair of blocks is compared across, a block alone (all 0) within."""
+    if not len(group):
+        return node, node
     order = np.lexsort((side, group))
     group, side, f = group[order], side[order], f[order]
     nodes, node = np.unique(node[order], return_inverse=True)
@@ -162,6 +171,11 @@ def forest(group: np.ndarray, side: np.ndarray, node: np.ndarray, f: np.ndarray,
         for k in range(0, len(rows), 256):
             r = rows[k : k + 256]
             c = cols if x else cols[k:]
+            root = _find(parent, node[r])
+            if (root == root[0]).all():  # what is in the same tree needs no comparison
+                c = c[_find(parent, node[c]) != root[0]]
+            if not len(c):
+                continue
             i, j = np.nonzero(near(f[r][:, None], f[c][None], radius, shared))
             unite(parent, node[r[i]], node[c[j]])
     roots = _find(parent, np.arange(len(nodes)))
@@ -173,11 +187,17 @@ def links(entries: DataFrame, *, longs: int, radius: int, sets: list[tuple[int,
     """Edges (a, b) whose components are those of all pairs within the radius that meet under a key. entries: (rep, f0, ...)."""
     names = [f"f{k}" for k in range(longs)]
     keyed = entries.where("rep IS NOT NULL").select("rep", *names, F.explode(posting_keys(sets)).alias("key"))
-    many = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    mine = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
-    tasks = keyed.join(many, "key").select("rep", *names, "key", "n", mine.alias("m")).select("rep", *names, "key", "m", other)
+    long_ = cut(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n")))
+    n_long = long_.count()
+    if n_long:
+        keyed = keyed.join(F.broadcast(long_) if n_long <= LONG_KEYS else long_, "key", "left")
+    else:
+        keyed = keyed.withColumn("n", F.lit(1))
+    n = F.coalesce("n", F.lit(1))
+    mine = F.pmod(F.xxhash64(*names, F.lit(1)), n).cast("int")
+    tasks = keyed.select("rep", *names, "key", mine.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
     tasks = tasks.select("rep", *names, F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("task"), (F.col("m") > F.col("o")).cast("int").alias("side"))
+    partitions = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() * len(sets) // POSTINGS + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = pd.concat(list(batches) or [pd.DataFrame({n: [] for n in ("task", "side", "rep", *names)}, dtype=np.int64)])
@@ -185,17 +205,18 @@ def links(entries: DataFrame, *, longs: int, radius: int, sets: list[tuple[int,
         a, r = forest(b["task"].to_numpy(np.int64), b["side"].to_numpy(np.int64), b["rep"].to_numpy(np.int64), f, radius, shared)
         yield pd.DataFrame({"a": a, "b": r})
 
-    return tasks.repartition("task").mapInPandas(run, "a long, b long")
+    return tasks.repartition(partitions, "task").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, longs: int = 1, radius: int = 3, sets: list[tuple[int, ...]] | None = None, block: int = BLOCK) -> DataFrame:
-    """(id, f0, ..., component_id), one row per document. Without ``sets``, no pair within the radius is missed."""
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, longs: int = 1, radius: int = 3, sets: Callable[[int], list[tuple[int, ...]]] | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, f0, ..., component_id), one row per document. ``sets`` gives the sets of positions for a number of entries; without it, no
+    pair within the radius is missed."""
     names = [f"f{k}" for k in range(longs)]
     rows = cut(fingerprints(docs, key=key, text=text, size=size, longs=longs))
     entries = cut(rows.groupBy(*names).agg(F.min("id").alias("rep")))
-    shared = 0 if sets else 8 * longs - radius
-    if sets is None:  # a wider key where the index is so large that a narrower one would list unrelated entries
-        sets = cover(8 * longs, shared, min(shared, 3 if entries.count() < 1 << 26 else 5))
-    found = components(links(entries, longs=longs, radius=radius, sets=sets, shared=shared, block=block))
+    shared, n = (0 if sets else 8 * longs - radius), entries.count()
+    # a wider key where the index is so large that a narrower one would list unrelated entries
+    positions = sets(n) if sets else cover(8 * longs, shared, min(shared, 3 if n < 1 << 26 else 5))
+    found = components(links(entries, longs=longs, radius=radius, sets=positions, shared=shared, block=block))
     named = entries.join(found, entries.rep == found.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     return rows.join(named, names).select("id", *names, "component_id")

@@ -153,6 +153,23 @@ def test_simhash_finds_every_link(docs, texts):
         assert all(any(set(c) <= set(s) for c in simhash.cover(n, shared, width)) for s in combinations(range(n), shared))
 
 
+def test_near_duplicates_recall(spark):
+    """Pairs of a five-word similarity of 0.8 or more, by brute force, against what the pipeline's settings link; far texts stay apart."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(150):
+        words = [f"w{i}" for i in rng.integers(0, 3000, 400)]
+        other = list(words)
+        for at in rng.choice(400, 1 + k % 10, replace=False):
+            other[at] = "edit"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    parts = [set(simhash.shingles(t, 5)) for _, t in rows]
+    close = [k for k in range(150) if len(parts[2 * k] & parts[2 * k + 1]) >= 0.8 * len(parts[2 * k] | parts[2 * k + 1])]
+    found = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=50, **corpus_pipeline.NEAR).collect()}
+    assert len(close) > 50 and sum(found[2 * k + 1] == 2 * k for k in close) >= 0.9 * len(close)
+    assert all(c // 2 == i // 2 for i, c in found.items())
+
+
 def test_forest_of_blocks():
     rng = np.random.default_rng(1)
     f = (np.uint64(7) << np.uint64(40)) ^ (np.uint64(1) << rng.integers(0, 24, (400, 1)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (400, 1)).astype(np.uint64))
