@@ -49,6 +49,8 @@ class Vocabulary:
         self.pieces = [p.id_to_piece(i) for i in range(n)]
         self.unknown = p.unk_id()
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if p.is_byte(i)}
+        self.beyond = frozenset(i for b, i in self.bytes.items() if b > 127)
+        self.plain = [chr(int(x[3:5], 16)) if p.is_byte(i) and i not in self.beyond else x for i, x in enumerate(self.pieces)]
         self.score = np.array([p.get_score(i) for i in range(n)])
         normal = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) and END not in self.pieces[i]]
         normal.sort(key=self.pieces.__getitem__)
@@ -242,9 +244,13 @@ class Coder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text; bytes that are no UTF-8 become U+FFFD."""
+        some = ids.tolist()
+        if self.v.beyond.isdisjoint(some):
+            text = "".join(map(self.v.plain.__getitem__, some)).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
         of_byte = {i: b for b, i in self.v.bytes.items()}
         out, raw = [], bytearray()
-        for i in ids.tolist():
+        for i in some:
             if i in of_byte:
                 raw.append(of_byte[i])
                 continue
