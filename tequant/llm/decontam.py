@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Items and texts are the words ``\\w+`` of the lower-cased text. An item's seeds are its runs of SEED words; one pass over all texts
-counts how many hold each. Of each quarter of an item the SEEDS_KEPT rarest seeds stay, whatever their counts, so that neither an
-edit nor a passage that leaked everywhere leaves an item without seeds, and besides all seeds that few texts hold. A second pass
-aligns the item with the text around each seed; edits, insertions and deletions of words cost 1, a matching word gains 2.
+counts how many hold each, and all that any text holds stay, however common. A second pass aligns the item with the text around each
+seed, unless the words they have in common, counted with repeats, are too few for the threshold; edits, insertions and deletions of
+words cost 1, a matching word gains 2. So of the pairs that share a seed every one that reaches the threshold is found, with its best
+score among the alignments that hold a seed; an edited copy that keeps no run of SEED words is not found.
 
 Items go to the workers in blocks of at most BLOCK_BYTES, each block with its own two passes, so a benchmark of any size serves.
 
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from tequant.llm.common import texts
 
 SEED = 3
-SEEDS_KEPT = 2
-RARE = 1e-4
 BLOCK_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
 
@@ -43,6 +42,7 @@ class Items:
             if k is not None and words:
                 self.keys.append(k)
                 self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64))
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         rows = [(s, i, q) for i, w in enumerate(self.words) for q, s in enumerate(self.grams(w))]
         self.seeds = np.array([r[0] for r in rows], np.int64)
         self.item, self.offset = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
@@ -73,18 +73,18 @@ class Items:
             out, at = np.r_[out, more], np.r_[at, np.arange(len(more))]
         return np.stack([out, at])
 
-    def keep(self, counts: dict[int, int], n_texts: int) -> None:
-        """Leaves the rare seeds."""
-        count = np.array([counts.get(int(s), 0) for s in self.seeds], np.int64)
-        quarter = np.array([4 * q // max(1, len(self.words[i]) - SEED + 1) for i, q in zip(self.item, self.offset, strict=True)], np.int64)
-        order = np.lexsort((self.offset, count, quarter, self.item))
-        group = self.item[order] * 8 + np.minimum(quarter[order], 7)
-        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        rank = np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0)) if len(group) else group
-        kept = order[(rank < SEEDS_KEPT) | (count[order] <= RARE * n_texts)]
+    def keep(self, counts: dict[int, int]) -> None:
+        """Leaves the seeds that stand in some text."""
+        kept = np.flatnonzero(np.array([int(s) in counts for s in self.seeds], bool))
         kept = kept[np.argsort(self.seeds[kept], kind="stable")]
         self.seeds, self.item, self.offset = self.seeds[kept], self.item[kept], self.offset[kept]
 
+    def common(self, i: int, ids: np.ndarray) -> int:
+        """How many words an item and a stretch of text have in common, with repeats; no alignment matches more."""
+        own, n = self.bags[i]
+        at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == ids], minlength=len(own)), n).sum())
+
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: (score, start, end) of the best stretch of b for a."""
@@ -108,7 +108,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def matches(items: Items, ids: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, start, end) of the best alignment around each seed group of a text."""
+    """(item number, score, start, end) of the best alignment around the seeds of a text.
+
+    An alignment that reaches the threshold has at most ``2 n (1 - threshold)`` inserted words, so each window holds it whole.
+    """
     grams, at = items.all_grams(ids)
     low, high = np.searchsorted(items.seeds, grams, "left"), np.searchsorted(items.seeds, grams, "right")
     hit = np.flatnonzero((high > low) & (grams > 0))
@@ -117,7 +120,8 @@ def matches(items: Items, ids: np.ndarray, threshold: float) -> list[tuple[int,
         for r in range(low[h], high[h]):
             i = int(items.item[r])
             n, from_ = len(items.words[i]), int(at[h] - items.offset[r])
-            windows.setdefault(i, []).append((max(0, from_ - n // 3 - 2), min(len(ids), from_ + n + n // 3 + 2)))
+            more = int(2 * n * (1 - threshold)) + 1
+            windows.setdefault(i, []).append((max(0, from_ - more), min(len(ids), from_ + n + more)))
     out = []
     for i, found in windows.items():
         merged: list[list[int]] = []
@@ -126,6 +130,9 @@ def matches(items: Items, ids: np.ndarray, threshold: float) -> list[tuple[int,
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
+        merged = [m for m in merged if items.common(i, ids[m[0] : m[1]]) >= threshold * len(items.words[i])]
+        if not merged:
+            continue
         scored = [(s / (2 * len(items.words[i])), x + a, y + a) for a, b in merged for s, x, y in [align(items.words[i], ids[a:b])]]
         score, x, y = max(scored, key=lambda s: (s[0], -s[1]))
         if score >= threshold:
@@ -143,7 +150,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     wanted = benchmark.select(benchmark[item].cast("long").alias("i"), benchmark[body].alias("b"))
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    total = rows.count()
     out = None
     for n in range(blocks):
         own = wanted.where(F.pmod(F.xxhash64("i", "b"), F.lit(blocks)) == n).toPandas().sort_values(["i", "b"])
@@ -165,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_pydict({"seed": seeds[sums > 0], "n": sums[sums > 0]})
 
         counted = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        items.keep({r["seed"]: r["n"] for r in counted.collect()}, total)  # at most one row per seed of the block
+        items.keep({r["seed"]: r["n"] for r in counted.collect()})  # at most one row per seed of the block
         kept = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,29 @@ def test_leaks(spark):
         assert (found[1].score, found[1].start_word, found[1].end_word) == (1.0, 50, 90) and 0.6 < found[2].score < 1
 
 
+def test_leaks_of_edited_copies(spark):
+    """No unedited copy, an edit in each quarter, some copies in many texts: the pairs and scores of a brute-force alignment."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    items = [rng.choices(words, k=32) for _ in range(8)]
+    texts = []
+    for n, item in enumerate(items):
+        edited = [f"new{n}" if k % 8 == (3 if n % 2 else 2 + k // 8) else w for k, w in enumerate(item)]
+        edited = edited[:16] + ["and", "so"] * (n % 4) * 2 + edited[16 + n % 3 :]
+        texts += [rng.choices(words, k=rng.randint(0, 40)) + edited + rng.choices(words, k=20) for _ in range(1 + 12 * (n // 4))]
+    texts += [rng.choices(words, k=60) for _ in range(20)]
+    x = decontam.Items(list(range(8)), [" ".join(i) for i in items])
+    want = {}
+    for k, t in enumerate(texts):
+        for i, item in enumerate(items):
+            score = decontam.align(x.words[i], x.numbered(" ".join(t)))[0] / 64
+            if score >= 0.5 and {tuple(item[a : a + 3]) for a in range(30)} & {tuple(t[a : a + 3]) for a in range(len(t))}:
+                want[k, i] = score
+    assert len(want) == 56
+    found = decontam.leaks(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == want
+
+
 def test_token_store(docs, texts, spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start, want = 0, {}
