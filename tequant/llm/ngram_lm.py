@@ -3,7 +3,7 @@
 Unigram and bigram counts of the training texts are summed over the whole corpus. A count c is quantised to level
 1 + floor(log(c) / log(BASE)), and the filter holds the pairs (n-gram, 1) ... (n-gram, level). A count is read back by probing level
 after level until one is missing. The probability of a word is interpolated: WEIGHT parts bigram, the rest unigram with 0.1 added to
-each count; after a context that the filter does not hold, it is the unigram's alone. Bigrams met once are not stored.
+each count; after a context that the filter does not hold, it is the unigram's alone. Bigrams met once are stored like any other.
 
 Exact unigram counts (for ``base_score``) travel as arrays of word hashes. Filter and arrays go to the workers in shards of at most
 SHARD_BYTES: each word and n-gram belongs to one shard by its hash, and each shard is one pass over the texts that adds its part. One
@@ -99,7 +99,7 @@ class Hasher:
         return np.array(found, np.uint64)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _rows(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Slabs of (row values but the text, hashes)."""
     hasher, rest, some, held = Hasher(), [], [], 0
     for b in batches:
@@ -123,7 +123,7 @@ def _contexts(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(n, key, c): n 1 for words, 2 for bigrams met more than once; key the hash as a signed long."""
+    """(n, key, c): n 1 for words, 2 for bigrams; key the hash as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in _rows(batches):
@@ -133,7 +133,7 @@ def counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int8)), pa.array(found.view(np.int64)), pa.array(c.astype(np.int32))], ["n", "key", "c"])
 
     each = docs.select(docs[text].alias("t")).mapInArrow(run, "n tinyint, key long, c int")
-    return each.groupBy("n", "key").agg(F.sum("c").alias("c")).where("n = 1 OR c > 1")
+    return each.groupBy("n", "key").agg(F.sum("c").alias("c"))
 
 
 def filter_segments(table: DataFrame, segments: int) -> DataFrame:

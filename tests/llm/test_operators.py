@@ -286,6 +286,15 @@ def test_language_model(docs, texts):
     assert all(math.isclose(a[k].base_score, b[k].base_score, rel_tol=1e-9) and a[k].n_known == b[k].n_known for k in a)
 
 
+def test_bigrams_met_once_count(spark):
+    learned, (a, b) = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 10), [k for k in range(99) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    words = [f"w{k}" for k in range(400)]
+    rows = spark.createDataFrame([(learned, " ".join(words)), (a, " ".join(words[50:90])), (b, " ".join(words[50:130:2]))], "doc_id long, text string")
+    assert ngram_lm.counts(rows.where(f"doc_id = {learned}")).where("n = 2 AND c = 1").count() == 401
+    got = {r.doc_id: r for r in ngram_lm.score(rows).collect()}
+    assert math.isclose(got[a].base_score, got[b].base_score) and got[a].score > got[b].score + 20  # seen once each, and never
+
+
 def test_filter_never_loses_a_count(spark):
     keys = np.random.default_rng(0).integers(1, 1 << 62, 3000)
     table = spark.createDataFrame([(int(k), int(i % 900 + 1)) for i, k in enumerate(keys)], "key long, c long")
