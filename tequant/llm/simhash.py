@@ -99,8 +99,8 @@ def sampled(n_bytes: int, width: int, count: int) -> list[tuple[int, ...]]:
 
 
 def similar_sets(entries: int) -> list[tuple[int, ...]]:
-    """Sets for 512 bits and a similarity of 0.8: of pairs within 86 bits both list about 19 in 20; the longer keys keep the lists of large inputs short."""
-    return sampled(64, 2, 48) if entries < 1 << 24 else sampled(64, 3, 224)
+    """Sets for 512 bits and a similarity of 0.8, the same for any number of entries. Of random pairs they list 0.997 at 78 differing bits, 0.986 at 86."""
+    return sampled(64, 2, 96)
 
 
 def posting_keys(sets: list[tuple[int, ...]]) -> Column:

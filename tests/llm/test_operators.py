@@ -153,6 +153,16 @@ def test_simhash_finds_every_link(docs, texts):
         assert all(any(set(c) <= set(s) for c in simhash.cover(n, shared, width)) for s in combinations(range(n), shared))
 
 
+def test_similar_sets_at_every_size():
+    """One family of sets, and what it lists of random pairs at the pipeline's radius."""
+    sets, rng = simhash.similar_sets(1), np.random.default_rng(7)
+    assert all(simhash.similar_sets(n) == sets for n in ((1 << 24) - 1, 1 << 24, 1 << 40))
+    same = np.ones((4000, 64), bool)
+    for row in same:
+        row[rng.choice(512, corpus_pipeline.NEAR["radius"], replace=False) // 8] = False
+    assert np.any([same[:, list(s)].all(1) for s in sets], axis=0).mean() > 0.97
+
+
 def test_near_duplicates_recall(spark):
     """Pairs of a five-word similarity of 0.8 or more, by brute force, against what the pipeline's settings link; far texts stay apart."""
     rng = np.random.default_rng(3)
