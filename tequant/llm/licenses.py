@@ -84,7 +84,14 @@ class Notice:
         return out
 
     def hits(self, words: bytes) -> list[tuple[int, int, int]]:
-        return [(m.start(), m.end(), sum(m.fuzzy_counts)) for a, b in self.windows(words) for m in self.pattern.finditer(words, a, b)]
+        """The best match of each window, then those of the stretches before and after it, so that no worse one is passed over."""
+        out, open_ = [], self.windows(words)
+        while open_:
+            a, b = open_.pop()
+            if any(words.find(piece, a, b) >= 0 for _, piece in self.pieces) and (m := self.pattern.search(words, a, b)):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_ += [(a, m.start()), (m.end(), b)]
+        return out
 
 
 class Scanner:

@@ -110,6 +110,13 @@ def test_licenses():
     assert s.fuzzy(licenses.normalise("the licence of the house")) == []
 
 
+def test_edited_notices_side_by_side():
+    s = licenses.Scanner()
+    found = lambda t: [(h.label, h.start, h.end, h.errors) for h in s.fuzzy(licenses.normalise(t))]
+    assert found("all rigts reserved all rights reserved all righs reserved") == [("all-rights-reserved", k, k + 3, e) for k, e in ((0, 1), (3, 0), (6, 1))]
+    assert found("x gnu genral public licence version 2 gnu general public license version 3 y") == [("gpl-2", 1, 7, 2), ("gpl-3", 7, 13, 0)]
+
+
 def base(t):
     out = [(m.start(), 0, f"email:{m.start()}:{m.end()}") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, f"ip:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) < 256 for x in m[0].split("."))]
