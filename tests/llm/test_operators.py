@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tequant.llm import components, decontam, html_text, licenses, ngram_lm, pieces, pii, quality, simhash, token_store, urls
+from tequant.llm.common import text_slabs
 from tequant.llm.oracles import ORACLES
 from tequant.llm.queries import QUERIES, URL_RULES
 
@@ -266,10 +268,16 @@ def test_simple8b():
 def test_chunks_give_the_library_s_ids():
     rng, tok = random.Random(1), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     enc = token_store.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read(), limit=40)
-    parts = ["a", "b", "The", " ", "  ", "\n", "\t", "'s", "'", "é", "日本", "🙂", "12", ".", "!!", "\xa0", "\x85", "\x1c", "<|endoftext|>", "don't", " word", "　", "\x00"]
-    for _ in range(800):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+    parts = ["a", "b", "The", " ", "  ", "\n", "\t", "'s", "'", "é", "日本", "🙂", "12", ".", "!!", "?", "a,'s", "\xa0", "\x85", "\x1c", "<|endoftext|>", "don't", " word", "　", "\x00", "w" * 80]
+    for _ in range(200):
+        some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 12))] + [None]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some, pa.string())], ["k", "t"])
+        for size in (4 << 20, 10):
+            got = []
+            for _, data, bounds in text_slabs([batch, batch.slice(0, 0)], size):
+                ids, n = enc.encode(data, bounds)
+                got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
 
 
 def test_pieces_give_the_library_s_ids():
