@@ -30,7 +30,8 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices popup modal overlay social share sharing related recommended comment comments disqus respond replies newsletter subscribe subscription signup widget toolbar pagination pager login skip legal gdpr complementary contentinfo search dialog alert".split())
 KEPT = frozenset("article body main content post entry story".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quote counts after an equals sign only, and only if it closes.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
 
@@ -70,7 +71,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body") and node is top:
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag in ("svg", "math") and m[3].endswith("/")):
             stop = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             at = stop.end()
             continue
@@ -147,7 +148,8 @@ def _measure(top: Node) -> list[Node]:
 
 
 def _blocks(node: Node, out: list[str], inline: list[str]) -> None:
-    """Appends the text blocks of a subtree in page order, with an explicit stack."""
+    """Appends the text blocks of a subtree in page order, with an explicit stack. Outside an article, lists of links are menus."""
+    loose = not _in_article(node)
 
     def flush() -> None:
         text = WHITE.sub(" ", entities.unescape("".join(inline))).strip()
@@ -167,7 +169,7 @@ def _blocks(node: Node, out: list[str], inline: list[str]) -> None:
                 inline.append(child)
             elif child.tag in VOID:
                 inline.append(" ") if child.tag != "hr" else flush()
-            elif not child.dropped and not _linked_list(child):
+            elif not child.dropped and not (loose and _linked_list(child)):
                 stack.append((child, 0))
         elif here.tag in BLOCK:
             flush()
@@ -176,6 +178,12 @@ def _blocks(node: Node, out: list[str], inline: list[str]) -> None:
     flush()
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 

@@ -13,6 +13,8 @@ empty table gives an empty result; other columns of the input are ignored. Texts
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,6 +61,11 @@ def normalise(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b" "
 
 
+def _spaces(words: bytes) -> list[int]:
+    """Where the spaces are; word k stands between spaces k and k + 1."""
+    return [m.start() for m in re.finditer(b" ", words)]
+
+
 class Notice:
     def __init__(self, label: str, text: str, rate: float):
         self.label, self.text = label, text.encode()
@@ -67,31 +74,20 @@ class Notice:
         self.pieces = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(self.text) + rb"){e<=%d}(?= )" % k)
 
-    def windows(self, words: bytes) -> list[tuple[int, int]]:
-        """Merged stretches of the text that can hold the notice."""
-        found = []
+    def windows(self, words: bytes) -> set[tuple[int, int]]:
+        """Around each hit of a piece, the stretch that holds the notice whole if the piece belongs to one."""
+        found = set()
         for at, piece in self.pieces:
             pos = words.find(piece)
             while pos >= 0:
-                found.append((max(0, pos - at - self.k - 1), min(len(words), pos - at + len(self.text) + self.k + 1)))
+                found.add((max(0, pos - at - self.k - 1), min(len(words), pos - at + len(self.text) + self.k + 1)))
                 pos = words.find(piece, pos + 1)
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out
-
-    def hits(self, words: bytes) -> list[tuple[int, int, int]]:
-        """The best match of each window, then those of the stretches before and after it, so that no worse one is passed over."""
-        out, open_ = [], self.windows(words)
-        while open_:
-            a, b = open_.pop()
-            if any(words.find(piece, a, b) >= 0 for _, piece in self.pieces) and (m := self.pattern.search(words, a, b)):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                open_ += [(a, m.start()), (m.end(), b)]
-        return out
+        return found
+
+    def hits(self, words: bytes) -> set[tuple[int, int, int]]:
+        """The best match of each window. A window is little longer than the notice, so a better one beside it hides none."""
+        found = (self.pattern.search(words, a, b) for a, b in self.windows(words))
+        return {(m.start(), m.end(), sum(m.fuzzy_counts)) for m in found if m}
 
 
 class Scanner:
@@ -101,26 +97,29 @@ class Scanner:
 
     def places(self, words: bytes) -> list[tuple[int, str]]:
         """(word, label) of every place of a base phrase."""
-        out = []
+        found = []
         for label, phrase in self.base.items():
             pos = words.find(phrase)
             while pos >= 0:
-                out.append((words.count(b" ", 0, pos), label))
+                found.append((pos, label))
                 pos = words.find(phrase, pos + 1)
-        return sorted(out)
+        spaces = _spaces(words) if found else []
+        return sorted((bisect_left(spaces, pos), label) for pos, label in found)
 
     def fuzzy(self, words: bytes) -> list[Hit]:
         """Hits by place; of hits that overlap, the closest one stays (of equal ones, that of the longer notice)."""
-        out: list[Hit] = []
-        for n in self.notices:
-            for a, b, errors in n.hits(words):
-                first = words.count(b" ", 0, a) - 1
-                out.append(Hit(first, first + 1 + words.count(b" ", a, b), n.label, errors, 1 - errors / len(n.text)))
-        kept: list[Hit] = []
+        found = [(a, b, e, n) for n in self.notices for a, b, e in n.hits(words)]
+        spaces = _spaces(words) if found else []
+        out = []
+        for a, b, errors, n in found:
+            first = bisect_left(spaces, a) - 1
+            out.append(Hit(first, bisect_left(spaces, b), n.label, errors, 1 - errors / len(n.text)))
+        kept: list[Hit] = []  # by place, none overlapping
         for h in sorted(out, key=lambda h: (-h.score, h.start - h.end, h.start, h.label)):
-            if not any(h.start < k.end and k.start < h.end for k in kept):
-                kept.append(h)
-        return sorted(kept)
+            k = bisect_left(kept, h.end, key=lambda x: x.start)
+            if not k or kept[k - 1].end <= h.start:
+                kept.insert(k, h)
+        return kept
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", notices=NOTICES, base=None, rate: float = 0.1) -> DataFrame:
