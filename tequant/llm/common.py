@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: The most bytes that one broadcast of an operator may hold; what is larger goes in blocks or through a shuffle.
 BROADCAST_BYTES = 256 << 20
+BROADCAST_KEYS = 1 << 21  # longs; 16 MB, and some 64 MB as a hash table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """A table of one long per row, to be joined: written, counted, and broadcast if it has BROADCAST_KEYS rows at most."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table made by cut() that nothing reads any more."""
     spark = df.sparkSession

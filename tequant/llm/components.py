@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is an aggregation and a join on the node, so a node with very many edges is summed before the shuffle and its join can be
-split; nothing goes to the driver but a checksum. Every round is written to the shared folder, so lost executors cost no history.
+Each step is an aggregation and a join on the node. A node with very many edges is summed before the shuffle; the least neighbours are
+written before they are joined, so both sides of the join come plain from a shuffle and adaptive execution can split such a node's.
+Nothing goes to the driver but a checksum. Every round is written to the shared folder, so lost executors cost no history.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop_cut(least)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = cut(small.where(F.col("u") != F.col("v")).distinct())
-        drop_cut(large)
-        drop_cut(e)
+        for done in (least, large, e):
+            drop_cut(done)
         e = new

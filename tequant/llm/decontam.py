@@ -9,7 +9,8 @@ score among the alignments that hold a seed; an edited copy that keeps no run of
 Items go to the workers in blocks of at most BLOCK_BYTES, each block with its own two passes, so a benchmark of any size serves.
 
 Defined cases: null and empty texts and items match nothing; items of fewer words than a seed are matched as one seed; repeated rows
-and items are handled each for itself; empty tables give an empty result; other columns of the input are ignored.
+and items are handled each for itself; empty tables give an empty result; other columns of the input are ignored. Ids may be numbers or
+texts; items without one are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ WORD = re.compile(r"\w+")
 class Items:
     """A block of items as numbered words, and their seeds."""
 
-    def __init__(self, keys: list[int], bodies: list[str | None]):
+    def __init__(self, keys: list, bodies: list[str | None]):
         self.numbers: dict[str, int] = {}
         self.keys, self.words = [], []
         for k, body in zip(keys, bodies, strict=True):
@@ -146,16 +146,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     score is the alignment's share of a perfect one; the words are the text's, end exclusive.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    wanted = benchmark.select(benchmark[item].cast("long").alias("i"), benchmark[body].alias("b"))
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    wanted = benchmark.select(benchmark[item].alias("i"), benchmark[body].alias("b"))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((rows, "k"), (wanted, "i"))]
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = None
     for n in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("i", "b"), F.lit(blocks)) == n).toPandas().sort_values(["i", "b"])
-        items = Items([None if pd.isna(x) else int(x) for x in own["i"]], list(own["b"]))
-        if (len(items.numbers) + 1) ** SEED >= 1 << 63:
-            raise ValueError("a block of items has too many different words; lower block_bytes")
+        own = sorted(wanted.where(F.pmod(F.xxhash64("i", "b"), F.lit(blocks)) == n).dropna().collect())
+        items = Items([r["i"] for r in own], [r["b"] for r in own])
+        if (len(items.numbers) + 1) ** SEED >= 1 << 63:  # too many different words for one number per seed
+            return leaks(docs, benchmark, key=key, text=text, item=item, body=body, threshold=threshold, block_bytes=block_bytes // 2)
         held = spark.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -176,12 +177,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
         def search(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             x = kept.value
-            for k, t in texts(batches):
-                found = matches(x, x.numbered(t), threshold)
-                if found:
-                    values = {"doc_id": pa.array([k] * len(found), pa.int64()), "item_id": [x.keys[f[0]] for f in found], "score": [f[1] for f in found], "start_word": [f[2] for f in found], "end_word": [f[3] for f in found]}
-                    yield pa.RecordBatch.from_pydict(values)
-
-        some = rows.mapInArrow(search, "doc_id long, item_id long, score double, start_word long, end_word long")
+            for batch in batches:
+                for k, t in texts(iter([batch])):
+                    found = matches(x, x.numbered(t), threshold)
+                    if found:
+                        values = {"doc_id": pa.array([k] * len(found), batch.schema.field(0).type), "item_id": [x.keys[f[0]] for f in found], "score": [f[1] for f in found], "start_word": [f[2] for f in found], "end_word": [f[3] for f in found]}
+                        yield pa.RecordBatch.from_pydict(values)
+
+        some = rows.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start_word long, end_word long")
         out = some if out is None else out.unionByName(some)
     return out

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tequant.llm.common import texts
+from tequant.llm.common import texts, worker_state
 
 SPACE = "▁"
 END = "\n"  # parts the units in the indexed text
@@ -168,12 +167,10 @@ class Coder:
     @classmethod
     def of_worker(cls, model: bytes) -> Coder:
         """The coder that this Python worker keeps from task to task."""
-        held = sys.__dict__.setdefault("_tequant_coders", {})
-        key = zlib.crc32(model)
-        if key not in held:
-            held.clear()
-            held[key] = cls(model)
-        return held[key]
+        held, key = worker_state(), zlib.crc32(model)
+        if held.get("coder", (None,))[0] != key:
+            held["coder"] = key, cls(model)
+        return held["coder"][1]
 
     def _ids(self, text: str, at: np.ndarray, length: np.ndarray, piece: np.ndarray, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, symbol number of each id) of symbols; characters in no piece fall into bytes."""
