@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import argparse
 import logging
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tequant import __version__
 from tequant.config import STRANDS, QuantConfig
 from tequant.plans.quantify import run
+from tequant.sinks.files import write_annotation
 from tequant.sources.annotation import ASSEMBLIES, read_bed, read_repeatmasker, read_whitelist
+from tequant.sources.bam import read_bam
 from tequant.sources.sam import read_sam
 
 
 def parser() -> argparse.ArgumentParser:
+    # The options, their types and defaults.
     p = argparse.ArgumentParser(prog="tequant", description="Counts repeat expression per cell.")
-    p.add_argument("-b", "--bam", required=True, help="alignments: SAM text, or a Parquet table of alignments")
+    p.add_argument("-b", "--bam", required=True, help="alignments: BAM, SAM text, or a Parquet table of alignments")
     p.add_argument("-r", "--regions", help="annotation as BED; goes before --genome")
     p.add_argument("-g", "--genome", choices=sorted(ASSEMBLIES), help="assembly; its .out file is given with --repeats")
     p.add_argument("--repeats", help="path of the assembly's .out file")
@@ -36,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-tags-check", action="store_true")
     p.add_argument("--keeptmp", action="store_true", help="also writes the mappings")
     p.add_argument("-v", "--verbose", action="count", default=0)
+    p.add_argument("-V", "--version", action="version", version=f"%(prog)s {__version__}")
     return p
 
 
@@ -46,8 +52,10 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit("give --regions, or --genome with --repeats")
     cfg = QuantConfig(cb_tag=a.cb_tag, umi_tag=a.umi_tag, no_umi=a.no_umi, locus=a.locus, min_bp_overlap=a.min_bp_overlap, min_fraction_overlap=a.min_fraction_overlap, strandedness=a.strandedness, max_iters=a.max_iters, tolerance=a.tolerance, dump_ec=a.dump_ec, keep_mappings=a.keeptmp, tags_check=not a.no_tags_check, integers=a.integers)
     spark = SparkSession.builder.appName("tequant").config("spark.master", f"local[{a.threads}]").getOrCreate()
-    alignments = spark.read.parquet(a.bam) if a.bam.endswith(".parquet") else read_sam(spark, a.bam)
+    alignments = spark.read.parquet(a.bam) if a.bam.endswith(".parquet") else read_bam(spark, a.bam) if a.bam.endswith(".bam") else read_sam(spark, a.bam)
     annotation = read_bed(spark, a.regions) if a.regions else read_repeatmasker(spark, a.repeats, header_lines=ASSEMBLIES[a.genome], locus=a.locus)
+    if not a.regions:
+        write_annotation(annotation, Path(a.outdir) / "rmsk.bed.gz")
     run(alignments, annotation, cfg, a.outdir, read_whitelist(spark, a.whitelist) if a.whitelist else None)
 
 

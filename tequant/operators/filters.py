@@ -29,8 +29,9 @@ def valid_alignments(alignments: DataFrame, cfg: QuantConfig, whitelist: DataFra
 
 
 def check_tags(alignments: DataFrame, cfg: QuantConfig, records: int = 999_998) -> DataFrame:
-    """One row if some of the first records has the tags; raises nothing itself (see ``require_tags``)."""
-    some = alignments.limit(records)
+    """One row if some of the first records of any partition has the tags; raises nothing itself (see ``require_tags``). Each partition
+    looks for itself and hands on a row at most."""
+    some = alignments.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).where(F.col("_at") < records)
     ok = F.coalesce(F.element_at("tags", cfg.cb_tag), F.lit("")) != ""
     if not cfg.no_umi:
         ok &= F.coalesce(F.element_at("tags", cfg.umi_tag), F.lit("")) != ""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tequant.functions.columns import locus_name, subfamily
+from tequant.staging import cut
 
 
 def read_features(hits: DataFrame) -> DataFrame:
@@ -18,16 +19,26 @@ def mappings(hits: DataFrame) -> DataFrame:
     return read_features(hits).groupBy("cb", "umi", "features").agg(F.count(F.lit(1)).cast("int").alias("read_count"))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(name, column): places from 1 in byte order of distinct values. Values are dealt by range and numbered within each range, after
+    the sizes of the ranges before it, so no task gets all rows."""
+    dealt = cut(df.select(column).repartitionByRange(column).select(column, F.spark_partition_id().alias("_part")))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column)) + F.col("_before")
+    return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(place.cast("int").alias(name), column)
+
+
 def barcode_index(maps: DataFrame) -> DataFrame:
-    """(barcode_idx, cb), from 1 in byte order. One row per cell goes through one task."""
-    return maps.select("cb").distinct().select(F.row_number().over(Window.orderBy("cb")).alias("barcode_idx"), "cb")
+    """(barcode_idx, cb), from 1 in byte order."""
+    return numbered(maps.select("cb").distinct(), "cb", "barcode_idx")
 
 
 def feature_index(maps: DataFrame, *, locus: bool = False) -> DataFrame:
-    """(feature_idx, feature_id, feature_name, feature_type), from 1 in byte order. One row per feature goes through one task."""
+    """(feature_idx, feature_id, feature_name, feature_type), from 1 in byte order."""
     ids = maps.select(F.explode("features").alias("feature_id")).distinct()
     name = locus_name(F.col("feature_id")) if locus else subfamily(F.col("feature_id"))
-    return ids.select(F.row_number().over(Window.orderBy("feature_id")).alias("feature_idx"), "feature_id", name.alias("feature_name"), F.lit("Gene Expression").alias("feature_type"))
+    return numbered(ids, "feature_id", "feature_idx").select("feature_idx", "feature_id", name.alias("feature_name"), F.lit("Gene Expression").alias("feature_type"))
 
 
 def equivalence_classes(maps: DataFrame) -> DataFrame:

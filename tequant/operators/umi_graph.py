@@ -1,7 +1,8 @@
 """The graph of UMIs that may stem from each other by a sequencing error.
 
 Two classes of a cell whose UMIs differ in at most one place agree in one half of them, so candidates come from an equi-join on (cell,
-half, its letters). A pair that agrees in both halves is kept once. Cells whose UMIs differ in length are compared in full.
+half, its letters). A pair that agrees in both halves is kept once. UMIs of different lengths are compared up to the end of the shorter
+one: each is entered under the lengths of its cell that it reaches, and a pair counts under the shorter one's.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from tequant.functions.columns import hamming
 
 
 def _halves(ecs: DataFrame) -> DataFrame:
-    cut = F.ceil(F.length("umi") / 2).cast("int")
-    first, second = F.substring(F.col("umi"), F.lit(1), cut), F.substring(F.col("umi"), cut + 1, F.length("umi"))
+    lengths = ecs.groupBy("cb").agg(F.collect_set(F.length("umi")).alias("lengths"))  # a few per cell
+    reached = F.explode(F.filter("lengths", lambda n: n <= F.length("umi")))
+    rows = ecs.join(lengths, "cb").select(*ecs.columns, reached.alias("l"))
+    cut = F.ceil(F.col("l") / 2).cast("int")
+    first, second = F.substring(F.col("umi"), F.lit(1), cut), F.substring(F.col("umi"), cut + 1, F.col("l") - cut)
     parts = F.array(F.struct(F.lit(1).alias("no"), first.alias("letters")), F.struct(F.lit(2).alias("no"), second.alias("letters")))
-    return ecs.select("*", first.alias("first"), F.explode(parts).alias("half")).select("*", "half.no", "half.letters").drop("half")
+    return rows.select("*", first.alias("first"), F.explode(parts).alias("half")).select("*", "half.no", "half.letters").drop("half")
 
 
 def candidate_pairs(ecs: DataFrame) -> DataFrame:
-    """(cb, i, j, i_*, j_*), i < j: pairs that share a half, or all pairs of a cell with UMIs of several lengths."""
-    lengths = ecs.groupBy("cb").agg((F.min(F.length("umi")) != F.max(F.length("umi"))).alias("ragged"))
-    ragged = lengths.where("ragged").select("cb")
+    """(cb, i, j, i_*, j_*), i < j: pairs with one differing letter at most."""
 
     def side(df: DataFrame, p: str) -> DataFrame:
         names = {"ec_index": p, "umi": f"{p}_umi", "features": f"{p}_features", "read_count": f"{p}_count", "first": f"{p}_first"}
         return df.withColumnsRenamed(names)
 
-    halves = _halves(ecs.join(ragged, "cb", "left_anti"))
-    near = side(halves, "i").join(side(halves, "j"), ["cb", "no", "letters"]).where("i < j").where("no = 1 OR i_first <> j_first")
-    odd = ecs.join(ragged, "cb", "left_semi")
-    full = side(odd, "i").join(side(odd, "j"), "cb").where("i < j")
+    halves = _halves(ecs)
+    pairs = side(halves, "i").join(side(halves, "j"), ["cb", "l", "no", "letters"]).where("i < j").where("no = 1 OR i_first <> j_first")
+    pairs = pairs.where(F.col("l") == F.least(F.length("i_umi"), F.length("j_umi")))
     cols = ["cb", "i", "j", "i_umi", "j_umi", "i_features", "j_features", "i_count", "j_count"]
-    return near.select(*cols).unionByName(full.select(*cols)).where(hamming(F.col("i_umi"), F.col("j_umi")) <= 1)
+    return pairs.select(*cols).where(hamming(F.col("i_umi"), F.col("j_umi")) <= 1)
 
 
 def edges(ecs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tequant.plans import testviews as V
 from tequant.plans.oracles import ORACLES
 from tequant.plans.quantify import Quantification, matrix_header, quantify
 from tequant.sources.annotation import repeat_loci
+from tequant.staging import cut
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -31,7 +32,8 @@ def _maps(spark: SparkSession, d: str, **more) -> DataFrame:
 
 
 def _ecs(spark: SparkSession, d: str, **more) -> DataFrame:
-    return mappings.equivalence_classes(_maps(spark, d, **more))
+    """Written once, as most queries read them several times."""
+    return cut(mappings.equivalence_classes(_maps(spark, d, **more)))
 
 
 def _run(spark: SparkSession, d: str, te: DataFrame | None = None, **more) -> Quantification:
@@ -108,9 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "em_fixed5": lambda s, d: _fine(C.em_shares(_reads(s, d), 5)),
     "em_loglik": lambda s, d: C.em_loglik(_reads(s, d), 1).withColumn("loglik", round3(F.col("loglik"))),
     "counts_no_umi_k5": lambda s, d: C.reported(C.counts_by_cycles(_reads(s, d), 5)),
+    "counts_no_umi_kernel_k5": lambda s, d: C.reported(C.raw_counts(_reads(s, d), V.config(no_umi=True, max_iters=5, tolerance=0.0))),
     "counts_umi": lambda s, d: _run(s, d).counts,
     "counts_no_umi": lambda s, d: _run(s, d, no_umi=True).counts,
     "counts_locus": lambda s, d: _run(s, d, _loci(s, d), locus=True).counts,
     "em_stats": lambda s, d: C.em_stats(_run(s, d).units, V.config()),
+    "matrix_header_no_umi_k5": lambda s, d: matrix_header(_run(s, d, no_umi=True, max_iters=5, tolerance=0.0)),
     "matrix_header": lambda s, d: matrix_header(_run(s, d)),
 }

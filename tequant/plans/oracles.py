@@ -17,7 +17,7 @@ raw AS (SELECT o_orderkey * 1000 + l_linenumber * 10 + k AS aid, 'r' || CAST(o_o
   CASE WHEN o_orderkey % 89 = 0 THEN 'N' || substr(u, 2, 5) ELSE u END AS umi
  FROM (SELECT *, {_b4(f"{_U} + CASE WHEN k = 5 THEN (CASE WHEN ({_U}) % 4 = 3 THEN -3 ELSE 1 END) ELSE 0 END", 6)} AS u FROM
   (SELECT l.*, o_orderkey, o_custkey, unnest(range(0, CAST(o_orderkey % 6 AS INT) + 1)) AS k FROM
-   (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_returnflag) AS flag FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL) l JOIN orders ON l_orderkey = o_orderkey)))
+   (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL) l JOIN orders ON l_orderkey = o_orderkey)))
 """
 _VALID = "valid AS (SELECT * FROM raw WHERE cb NOT IN ('', '-') AND umi NOT LIKE '%N%' AND NOT regexp_matches(umi, '^$|^(A+|G+|T+|C+)$'))"
 _VALID_NO_UMI = "valid AS (SELECT * REPLACE (qname AS umi) FROM raw WHERE cb NOT IN ('', '-'))"
@@ -25,7 +25,7 @@ _VALID_NO_UMI = "valid AS (SELECT * REPLACE (qname AS umi) FROM raw WHERE cb NOT
 
 def _hit(on: str = "", having: str = "") -> str:
     return f"""
-blk AS (SELECT aid, cb, umi, qname, chrom, strand, ln, s AS bs, s + 30 AS be FROM valid UNION ALL SELECT aid, cb, umi, qname, chrom, strand, ln, s + 60, s + 90 FROM valid WHERE ln = 2),
+blk AS (SELECT aid, cb, umi, qname, chrom, strand, ln, s AS bs, s + 30 AS be FROM valid UNION ALL SELECT aid, cb, umi, qname, chrom, strand, ln, s + 60, s + 90 FROM valid WHERE ln % 2 = 0),
 hit AS (SELECT aid, cb, umi, qname AS read, te_id, feature, CAST(sum(least(be, te) - greatest(bs, ts)) AS BIGINT) AS ov
  FROM blk b JOIN te t ON b.chrom = t.chrom AND bs < te AND ts < be {on} GROUP BY aid, cb, umi, qname, te_id, feature, ln {having})"""
 
@@ -71,6 +71,10 @@ _LOCI = """loci AS (SELECT p_partkey AS te_id, 'chr' || CAST(p_partkey % 5 + 1 A
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY te_id) AS INT) AS locus_index FROM loci)"""
 _WHITE = f"white AS (SELECT {_b4('i * 3 * 2003', 8)} AS cb FROM range(10) r(i))"
 
+# counts per cell and feature from the shares {p}
+_COUNTS = """SELECT cb, feature_id, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT cb, fs[1] AS feature_id, 1.0 AS c FROM u WHERE len(fs) = 1
+  UNION ALL SELECT q.cb, f, p * n FROM {p} q JOIN (SELECT cb, count(*) AS n FROM u WHERE len(fs) > 1 GROUP BY cb) USING (cb)) GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
     "valid_alignments": _q("SELECT aid, cb, umi, qname AS read, chrom, strand FROM valid", _ALN, _VALID),
     "valid_alignments_no_umi": _q("SELECT aid, cb, umi, qname AS read, chrom, strand FROM valid", _ALN, _VALID_NO_UMI),
@@ -85,7 +89,7 @@ ORACLES: dict[str, str] = {
     "overlap_hits_forward": _q(_HITS, _ALN, _VALID, _hit("AND b.strand = t.strand")),
     "overlap_hits_reverse": _q(_HITS, _ALN, _VALID, _hit("AND b.strand <> t.strand")),
     "overlap_hits_min_bp": _q(_HITS, _ALN, _VALID, _hit(having="HAVING sum(least(be, te) - greatest(bs, ts)) >= 20")),
-    "overlap_hits_min_fraction": _q(_HITS, _ALN, _VALID, _hit(having="HAVING sum(least(be, te) - greatest(bs, ts)) >= 0.5 * CASE WHEN ln = 2 THEN 60 ELSE 30 END")),
+    "overlap_hits_min_fraction": _q(_HITS, _ALN, _VALID, _hit(having="HAVING sum(least(be, te) - greatest(bs, ts)) >= 0.5 * CASE WHEN ln % 2 = 0 THEN 60 ELSE 30 END")),
     "overlap_hits_whitelist": _q(_HITS + " SEMI JOIN white USING (cb)", *_BASE, _WHITE),
     "read_feature_sets": _q("SELECT cb, umi, read, array_to_string(fs, ',') AS features FROM rf", *_BASE, _RF),
     "mappings": _q("SELECT cb, umi, array_to_string(fs, ',') AS features, n AS read_count FROM maps", *_TO_MAP),
@@ -112,9 +116,13 @@ ORACLES: dict[str, str] = {
     "em_one_step": _em(1, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),
     "em_fixed5": _em(5, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),
     "em_loglik": _em(1, "SELECT cb, round_even(CAST(sum(ln(s + 2.220446049250313e-16)) AS DOUBLE), 3) AS loglik FROM (SELECT m.cb, m.u, sum(p) AS s FROM m JOIN {p} USING (cb, f) GROUP BY m.cb, m.u) GROUP BY cb"),
-    "counts_no_umi_k5": _em(
-        5,
-        """SELECT cb, feature_id, round_even(c, 3) AS "count" FROM (SELECT cb, feature_id, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT cb, fs[1] AS feature_id, 1.0 AS c FROM u WHERE len(fs) = 1
-        UNION ALL SELECT q.cb, f, p * n FROM {p} q JOIN (SELECT cb, count(*) AS n FROM u WHERE len(fs) > 1 GROUP BY cb) USING (cb)) GROUP BY ALL) WHERE c >= 0.001""",
+    "counts_no_umi_k5": _em(5, f'SELECT cb, feature_id, round_even(c, 3) AS "count" FROM ({_COUNTS}) WHERE c >= 0.001'),
+    "counts_no_umi_kernel_k5": _em(5, f'SELECT cb, feature_id, round_even(c, 3) AS "count" FROM ({_COUNTS}) WHERE c >= 0.001'),
+    "ec_dump_no_umi": _q(
+        """SELECT bi AS Barcode_id, cb AS Barcode, i AS EqClass, umi AS Read_name, array_to_string(fs, ',') AS Features, n AS Read_count
+        FROM ec JOIN (SELECT cb, CAST(row_number() OVER (ORDER BY cb) AS INT) AS bi FROM (SELECT DISTINCT cb FROM maps)) USING (cb)""",
+        *_NOUMI[:-1], _MAP, _EC,
     ),
+    "matrix_header_no_umi_k5": _em(5, f"""SELECT (SELECT count(DISTINCT f) FROM (SELECT unnest(fs) AS f FROM u)) AS n_features, (SELECT count(DISTINCT cb) FROM u) AS n_barcodes,
+        (SELECT count(*) FROM ({_COUNTS}) WHERE c >= 0.001) AS nnz"""),
 }

@@ -34,7 +34,7 @@ def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("*", F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 6).cast("int"))).alias("k"))
     key, u = F.col("o_orderkey"), (F.col("o_orderkey") * 7) % 4093
@@ -46,7 +46,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         (key * 1000 + F.col("l_linenumber") * 10 + F.col("k")).alias("aid"), F.concat(F.lit("r"), key.cast("string"), F.lit("_"), F.col("k").cast("string")).alias("qname"),
         F.when(F.col("flag") == "R", 16).otherwise(0).alias("flag"), F.concat(F.lit("chr"), (F.col("part") % 5 + 1).cast("string")).alias("chrom"), F.when(F.col("flag") == "R", "-").otherwise("+").alias("strand"),
-        F.when(F.col("l_linenumber") == 2, F.array(block(start), block(start + 60))).otherwise(F.array(block(start))).alias("blocks"), F.create_map(F.lit("CB"), cb, F.lit("UR"), umi).alias("tags"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.array(block(start), block(start + 60))).otherwise(F.array(block(start))).alias("blocks"), F.create_map(F.lit("CB"), cb, F.lit("UR"), umi).alias("tags"),
     )
 
 

@@ -38,6 +38,12 @@ def write_matrix(counts: DataFrame, n_features: int, n_barcodes: int, path: Path
     write_lines(path, (line for part in (head, (f"{r['feature_idx']} {r['barcode_idx']} {number(r['count'])}" for r in rows)) for line in part))
 
 
+def write_annotation(loci: DataFrame, path: Path) -> None:
+    """The loci of a repeat annotation as BED, in the order of their lines."""
+    rows = loci.orderBy("te_id").select(F.col("chrom").alias("#chr"), "start", "end", F.col("feature").alias("name"), "locus_index", "strand")
+    write_rows(rows, path, header=True)
+
+
 def write_mappings(maps: DataFrame, path: Path) -> None:
     rows = maps.select("cb", "umi", F.array_join("features", ",").alias("features"), "read_count")
     write_rows(rows.orderBy("cb", "umi", "features"), path)

@@ -32,8 +32,14 @@ def parse_sam(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = lines.where(~F.col(column).startswith("@") & (F.col(column) != "")).select(F.monotonically_increasing_id().alias("aid"), F.split(column, "\t").alias("f"))
     flag, tags = F.col("f")[1].cast("int"), F.filter(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
     entries = F.transform(tags, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
-    rows = rows.select("aid", F.col("f")[0].alias("qname"), flag.alias("flag"), F.col("f")[2].alias("chrom"), F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+").alias("strand"), cigar_blocks(F.col("f")[3].cast("long"), F.col("f")[5]).alias("blocks"), F.map_from_entries(entries).alias("tags"))
-    return rows.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("chrom") != "*"))
+    return aligned(rows.select("aid", F.col("f")[0].alias("qname"), flag.alias("flag"), F.col("f")[2].alias("chrom"), F.col("f")[3].cast("long").alias("pos"), F.col("f")[5].alias("cigar"), entries.alias("tags")))
+
+
+def aligned(rows: DataFrame) -> DataFrame:
+    """(aid, qname, flag, chrom, strand, blocks, tags) of the mapped ones of (aid, qname, flag, chrom, pos, cigar, tags), pos 1-based."""
+    rows = rows.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("chrom") != "*"))
+    strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
+    return rows.select("aid", "qname", "flag", "chrom", strand.alias("strand"), cigar_blocks(F.col("pos"), F.col("cigar")).alias("blocks"), F.map_from_entries("tags").alias("tags"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -1,22 +1,27 @@
 import gzip
+import random
+import struct
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tequant import cli
 from tequant.config import QuantConfig
 from tequant.functions.columns import hamming, locus_name, round3, subfamily
-from tequant.operators import filters
+from tequant.operators import filters, mappings, umi_graph
 from tequant.plans import testviews as V
 from tequant.plans.catalog import QUERIES
 from tequant.plans.oracles import ORACLES
 from tequant.plans.quantify import hits, quantify, run
-from tequant.sources.annotation import BadAnnotation, check_names, parse_bed, read_repeatmasker
+from tequant.sources.annotation import BadAnnotation, check_names, parse_bed, read_bed, read_repeatmasker, read_whitelist
+from tequant.sources.bam import BadBam, read_bam
 from tequant.sources.sam import parse_sam
 from tequant.streaming.mapping import stream_hits
 
 SF = "/root/testdata/sf0.001"
-SOME = ("valid_alignments", "whitelist_semi", "annotation_loci", "overlap_hits", "overlap_hits_reverse", "overlap_hits_min_fraction", "mappings", "feature_index", "umi_edges", "umi_components", "umi_units_small", "em_fixed5", "counts_no_umi_k5")
+SOME = ("valid_alignments", "whitelist_semi", "annotation_loci", "overlap_hits", "overlap_hits_reverse", "overlap_hits_min_fraction", "mappings", "feature_index", "umi_edges", "umi_components", "umi_units_small", "em_fixed5", "counts_no_umi_k5", "counts_no_umi_kernel_k5", "ec_dump_no_umi", "matrix_header_no_umi_k5", "barcode_index", "umi_candidate_pairs")
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +109,101 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream_hits(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), V.annotation(spark, SF), V.config(), f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == hits(rows, V.annotation(spark, SF), V.config()).count()
+
+
+def blocks(data, sizes):
+    """BGZF blocks of the given sizes, and the empty one at the end."""
+    out, at = b"", 0
+    while at < len(data) or not out.endswith(b"\x03\x00" + bytes(8)):
+        part = data[at : at + next(sizes)]
+        at += len(part)
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(part) + z.flush()
+        out += struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def bam(rows, refs, sizes):
+    """A BAM file of (name, flag, reference, 0-based position, [(length, op)], tags)."""
+    out = b"BAM\1" + struct.pack("<i", 5) + b"@HD\n\0" + struct.pack("<i", len(refs))
+    for r in refs:
+        out += struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", 10**6)
+    for name, flag, ref, pos, cigar, tags in rows:
+        n = sum(k for k, op in cigar if op in "MIS")
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(cigar), flag, n, -1, -1, 0) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", k << 4 | "MIDNSHP=X".index(op)) for k, op in cigar) + bytes((n + 1) // 2) + b"\xff" * n
+        for key, value in tags.items():
+            body += key.encode() + (b"Z" + value.encode() + b"\0" if isinstance(value, str) else b"i" + struct.pack("<i", value) if isinstance(value, int) else b"BS" + struct.pack(f"<i{len(value)}H", len(value), *value))
+        out += struct.pack("<i", len(body)) + body
+    return blocks(out, sizes)
+
+
+def some_reads(n=400):
+    rng = random.Random(8)
+    rows = []
+    for k in range(n):
+        cigar = [(rng.randint(20, 60), "M")] + ([(rng.randint(50, 90), "N"), (30, "M")] if k % 3 == 0 else []) + ([(5, "S")] if k % 4 == 0 else [])
+        rows.append((f"read{k}", rng.choice((0, 16)), rng.randint(0, 1), rng.randint(0, 3000), cigar, {"NH": 1, "CB": rng.choice(("AACC", "GGTT")), "XB": [1, 2], "UR": "".join(rng.choice("ACGT") for _ in range(4))}))
+    return [*rows, ("gone", 4, -1, -1, [], {"CB": "AACC", "UR": "ACGT"})]
+
+
+def sam(rows, refs):
+    text = "@HD\tVN:1.6\n"
+    for name, flag, ref, pos, cigar, tags in rows:
+        spelled = "".join(f"{k}{op}" for k, op in cigar) or "*"
+        text += "\t".join([name, str(flag), refs[ref] if ref >= 0 else "*", str(pos + 1), "60", spelled, "*", "0", "0", "*", "*", *(f"{k}:Z:{v}" for k, v in tags.items() if isinstance(v, str))]) + "\n"
+    return text
+
+
+@pytest.mark.parametrize(("low", "high", "stretch"), [(40, 90, 700), (3000, 6000, 2500), (60000, 60001, 1 << 26)])
+def test_bam_equals_sam_in_any_stretches(spark, tmp_path, low, high, stretch):
+    rng, rows, refs = random.Random(2), some_reads(), ["chr1", "chr2"]
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam(rows, refs, iter(lambda: rng.randint(low, high), None)))
+    got = read_bam(spark, str(path), stretch=stretch)
+    want = parse_sam(spark.createDataFrame([(x,) for x in sam(rows, refs).splitlines()], "value string"))
+    key = lambda r: (r.qname, r.flag, r.chrom, r.strand, [tuple(b) for b in r.blocks], r.tags["CB"], r.tags["UR"])
+    got = got.collect()
+    assert sorted(map(key, got)) == sorted(map(key, want.collect())) and len({r.aid for r in got}) == 400 and got[0].tags["NH"] == "1" and got[0].tags["XB"] == "S,1,2"
+    (tmp_path / "y.bam").write_bytes(b"nothing of the kind")
+    with pytest.raises(BadBam):
+        read_bam(spark, str(tmp_path / "y.bam"))
+
+
+def test_command_line(spark, tmp_path):
+    rows, refs, rng = some_reads(), ["chr1", "chr2"], random.Random(5)
+    (tmp_path / "x.bam").write_bytes(bam(rows, refs, iter(lambda: rng.randint(500, 900), None)))
+    (tmp_path / "x.sam").write_text(sam(rows, refs))
+    out = "h\nh\n\n" + "".join(f"1 2 3 4 {refs[k % 2]} {60 * k + 1} {60 * k + 50} (0) {'+C'[k % 2]} N{k % 5} LINE/L{k % 2}\n" for k in range(50))
+    (tmp_path / "r.out").write_bytes(gzip.compress(out.encode()))  # compressed, though its name does not say so
+    (tmp_path / "w.txt").write_text("AACC\n\nGGTT \n")
+    for name, more in (("bam", ["--genome", "test", "--repeats", str(tmp_path / "r.out")]), ("sam", ["-r", str(tmp_path / "bam/rmsk.bed.gz")])):
+        cli.main(["-b", str(tmp_path / f"x.{name}"), "-o", str(tmp_path / name), "-w", str(tmp_path / "w.txt"), "--dump-ec", "--keeptmp", *more])
+    bed = gzip.decompress((tmp_path / "bam/rmsk.bed.gz").read_bytes()).decode().splitlines()
+    assert bed[:3] == ["#chr\tstart\tend\tname\tlocus_index\tstrand", "chr1\t0\t50\tN0#LINE/L0\t1\t+", "chr2\t60\t110\tN1#LINE/L1\t1\t-"] and len(bed) == 51
+    for f in ("counts/matrix.mtx.gz", "counts/barcodes.tsv.gz", "counts/features.tsv.gz", "ec_dump.tsv.gz", "tmp/mappings.tsv.gz"):
+        assert (tmp_path / "bam" / f).read_bytes() == (tmp_path / "sam" / f).read_bytes()
+    maps = [x.split("\t") for x in gzip.decompress((tmp_path / "bam/tmp/mappings.tsv.gz").read_bytes()).decode().splitlines()]
+    dump = [x.split("\t") for x in gzip.decompress((tmp_path / "bam/ec_dump.tsv.gz").read_bytes()).decode().splitlines()]
+    assert maps == sorted(maps) and {m[0] for m in maps} == {"AACC", "GGTT"}
+    assert [[d[1], d[3], d[4], d[5]] for d in dump[1:]] == maps and [int(d[2]) for d in dump[1:] if d[1] == "AACC"] == list(range(sum(m[0] == "AACC" for m in maps)))
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert sorted(r.cb for r in read_whitelist(spark, str(tmp_path / "w.txt")).collect()) == ["AACC", "GGTT"]
+    (tmp_path / "plain").write_bytes(gzip.compress(b"#c\nchr1\t1\t9\ta\n"))
+    assert read_bed(spark, str(tmp_path / "plain")).count() == 1
+
+
+def test_places_by_range(spark):
+    rows = spark.createDataFrame([(f"{k:05d}",) for k in random.Random(1).sample(range(9000), 3000)], "v string").repartition(5)
+    got = [tuple(r) for r in mappings.numbered(rows, "v", "n").orderBy("v").collect()]
+    assert [n for n, _ in got] == list(range(1, 3001)) and mappings.numbered(rows.limit(0), "v", "n").count() == 0
+
+
+def test_pairs_of_umis_of_several_lengths(spark):
+    rng = random.Random(3)
+    umis = sorted({"".join(rng.choice("AC") for _ in range(rng.choice((5, 6, 6, 9)))) for _ in range(60)})
+    ecs = spark.createDataFrame([(cb, i, u, ["f"], 1) for cb in ("x", "y") for i, u in enumerate(umis)], "cb string, ec_index int, umi string, features array<string>, read_count int")
+    got = sorted((r.cb, r.i, r.j) for r in umi_graph.candidate_pairs(ecs).collect())
+    near = [(i, j) for i in range(len(umis)) for j in range(i + 1, len(umis)) if sum(a != b for a, b in zip(umis[i], umis[j], strict=False)) <= 1]
+    assert got == sorted((cb, i, j) for cb in ("x", "y") for i, j in near)
