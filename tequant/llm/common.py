@@ -1,10 +1,8 @@
-"""What the corpus operators share: reading tables, the shared folder, cutting lineage, checked broadcasts."""
+"""What the corpus operators share: reading tables, checked broadcasts, texts as bytes, what a worker keeps."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -14,8 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most bytes that one broadcast of an operator may hold; what is larger goes in blocks or through a shuffle.
-BROADCAST_BYTES = 256 << 20
+from tequant.staging import cut, drop_cut, shared_dir
+
+__all__ = ["ascii_lower", "bounded", "cut", "drop_cut", "let", "mix", "shared_dir", "span_hashes", "table", "text_slabs", "texts", "worker_state"]
+
 BROADCAST_KEYS = 1 << 21  # longs; 16 MB, and some 64 MB as a hash table
 
 
@@ -23,41 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of this machine only where that is unset and Spark runs in one JVM."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tequant-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors, computes nothing twice."""
-    path = f"{shared_dir(df.sparkSession)}/tequant/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(keys: DataFrame) -> DataFrame:
     """A table of one long per row, to be joined: written, counted, and broadcast if it has BROADCAST_KEYS rows at most."""
     keys = cut(keys)
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a table made by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tequant/" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def worker_state() -> dict:
     """What this Python worker keeps from task to task. The package travels by value, so globals of its own modules last one task."""
     return vars(sys.modules.setdefault("tequant_worker_state", ModuleType("tequant_worker_state")))
