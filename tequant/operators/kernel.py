@@ -33,12 +33,15 @@ def components(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
-def _cover(start: int, nodes: list[int], out: dict[int, list[int]], features: list[frozenset]) -> list[list[int]]:
-    """Splits the nodes, `start` first, into what each root still reaches through nodes that share a feature with the root."""
+def _cover(start: int, nodes: list[int], out: dict[int, list[int]], features: list[frozenset], below: int) -> list[list[int]] | None:
+    """Splits the nodes, `start` first, into what each root still reaches through nodes that share a feature with the root; None if that
+    takes `below` paths or more."""
     free, found = set(nodes), []
     for root in [start, *(n for n in nodes if n != start)]:
         if root not in free:
             continue
+        if len(found) + 1 >= below:
+            return None
         free.discard(root)
         path, todo = [root], [root]
         while todo:
@@ -71,7 +74,11 @@ def molecules(features: list[frozenset], links: list[tuple[int, int]]) -> list[U
         nodes = groups[least]
         starts = [n for n in nodes if n not in entered]
         whole = None if starts else frozenset().union(*(features[n] for n in nodes))
-        best = min((_cover(s, nodes, out, features) for s in starts or nodes), key=len)
+        best = None
+        for s in starts or nodes:
+            best = _cover(s, nodes, out, features, len(best) if best else len(nodes) + 1) or best
+            if len(best) == max(1, len(starts)):  # nothing leads to a start, so each has a path of its own: there is no better cover
+                break
         units += [Unit(p[0], tuple(p), tuple(sorted(whole if whole is not None else features[p[0]]))) for p in best]
     return units
 
