@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tequant.llm import decontam, html_text, licenses, ngram_lm, pieces, pii, quality, simhash, token_store, urls
+from tequant.llm import collocations, decontam, fim, html_text, licenses, neighbours, ngram_lm, pieces, pii, quality, simhash, token_store, urls
 from tequant.llm.common import shared_dir, table
 
 POLICY = quality.POLICIES["prose-1"]
@@ -69,4 +69,18 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_license_scan, op5_pii, op6_simhash, op7_pieces, op8_lm_scores, op9_url_filter, op10_token_store)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_license_scan, op5_pii, op6_simhash, op7_pieces, op8_lm_scores, op9_url_filter, op10_token_store, op11_neighbours, op12_fill_in_middle, op13_collocations)}
