@@ -32,7 +32,9 @@ LEAST = 100
 LONGEST = 5
 CHUNK = 1 << 10
 NAMES = 1 << 21
-PAIRS = 1 << 20  # different pairs that a task gathers before it hands them on
+ROWS = 64  # chunks that a task has in hand at a time
+SLAB = 1 << 19  # bytes of text that a task has in hand at a time, or one text
+PAIRS = 1 << 17  # different pairs, or words, that a task gathers before it hands them on
 SALTS = 32
 _KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 space, 2 end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -43,7 +45,7 @@ _LOWER[65:91] += 32
 
 def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of some texts at a time: languages, lower-cased bytes, begin and end of each word, the text it is in, and whether a piece begins with it."""
-    for langs, data, bounds in text_slabs(batches):
+    for langs, data, bounds in text_slabs(batches, SLAB):
         data = _LOWER[data]
         kind = _KIND[data]
         # a text's end parts words and pieces, as if a newline stood there
@@ -116,7 +118,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for i, x, y, c in zip(owner[first].tolist(), begin[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
                 k = langs[i], raw[x:y]
                 held[k] = held.get(k, 0) + c
-            if len(held) > PAIRS // 4:
+            if len(held) > PAIRS:
                 yield out()
                 held.clear()
         if held:
@@ -157,6 +159,13 @@ class Names:
         self.keys, self.a, self.b, self.ids = key[order], a[order], b[order], ids[order]
         self.twice = bool(len(self.keys)) and bool((self.keys[1:] == self.keys[:-1]).any())
 
+    @classmethod
+    def of(cls, state: dict) -> Names:
+        """From what vars() says of names: a broadcast carries plain data, so that tasks need no installed package."""
+        names = cls.__new__(cls)
+        vars(names).update(state)
+        return names
+
     @staticmethod
     def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(b.view(np.uint64)))
@@ -184,7 +193,7 @@ def held(names: DataFrame, most: int):
     if names.count() > most:
         return None
     t = names.select("a", "b", "id").toArrow()
-    return names.sparkSession.sparkContext.broadcast(Names(*(t.column(c).to_numpy() for c in ("a", "b", "id"))))
+    return names.sparkSession.sparkContext.broadcast(vars(Names(*(t.column(c).to_numpy() for c in ("a", "b", "id")))))
 
 
 def _chunks(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -206,10 +215,11 @@ def _with_gaps(values: np.ndarray, gaps: np.ndarray) -> np.ndarray:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The chunks of a batch, one after the other, with a 0 behind each."""
+    """Some chunks at a time, one after the other, with a 0 behind each."""
     for b in batches:
-        raw = b.column(0).to_pylist()
-        yield np.frombuffer((b"\0" * 8).join([*raw, b""]), np.int64)
+        for at in range(0, b.num_rows, ROWS):
+            raw = b.column(0).slice(at, ROWS).to_pylist()
+            yield np.frombuffer((b"\0" * 8).join([*raw, b""]), np.int64)
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -253,8 +263,9 @@ def numbered_texts(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
     own = held(names, most)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Names.of(own.value)
         for langs, data, begin, end, owner, fresh in slabs(batches):
-            yield from _chunks(_with_gaps(own.value.find(*keyed(langs, data, begin, end, owner)), fresh))
+            yield from _chunks(_with_gaps(known.find(*keyed(langs, data, begin, end, owner)), fresh))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stretches():
@@ -279,9 +290,10 @@ def renamed(texts: DataFrame, names: DataFrame, most: int) -> DataFrame:
     own = held(names, most)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Names.of(own.value)
         for ids in _sequences(batches):
             at, out = _pairs(ids), np.zeros(len(ids), np.int64)
-            out[at] = own.value.find(ids[at], ids[at + 1])
+            out[at] = known.find(ids[at], ids[at + 1])
             yield from _chunks(out)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
