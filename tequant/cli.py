@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 import logging
-from pathlib import Path
+import os
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from tequant import __version__
@@ -29,7 +30,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-u", "--umi-tag", default="UR")
     p.add_argument("-l", "--locus", action="store_true")
     p.add_argument("--no-umi", action="store_true")
-    p.add_argument("-p", "--threads", type=int, default=1)
+    p.add_argument("-p", "--threads", type=int, default=1, help="of a local run; without effect where Spark is given a master")
+    p.add_argument("--parts", action="store_true", help="leaves each output as a folder of parts, as the executors wrote them")
     p.add_argument("-o", "--outdir", default="tequant_out")
     p.add_argument("--min-bp-overlap", type=int)
     p.add_argument("--min-fraction-overlap", type=float)
@@ -51,12 +53,15 @@ def main(argv: list[str] | None = None) -> None:
     if not a.regions and not (a.genome and a.repeats):
         raise SystemExit("give --regions, or --genome with --repeats")
     cfg = QuantConfig(cb_tag=a.cb_tag, umi_tag=a.umi_tag, no_umi=a.no_umi, locus=a.locus, min_bp_overlap=a.min_bp_overlap, min_fraction_overlap=a.min_fraction_overlap, strandedness=a.strandedness, max_iters=a.max_iters, tolerance=a.tolerance, dump_ec=a.dump_ec, keep_mappings=a.keeptmp, tags_check=not a.no_tags_check, integers=a.integers)
-    spark = SparkSession.builder.appName("tequant").config("spark.master", f"local[{a.threads}]").getOrCreate()
+    builder = SparkSession.builder.appName("tequant")
+    if not SparkConf().contains("spark.master") and "MASTER" not in os.environ:  # else spark-submit or the session has one
+        builder = builder.master(f"local[{a.threads}]")
+    spark = SparkSession.getActiveSession() or builder.getOrCreate()
     alignments = spark.read.parquet(a.bam) if a.bam.endswith(".parquet") else read_bam(spark, a.bam) if a.bam.endswith(".bam") else read_sam(spark, a.bam)
     annotation = read_bed(spark, a.regions) if a.regions else read_repeatmasker(spark, a.repeats, header_lines=ASSEMBLIES[a.genome], locus=a.locus)
     if not a.regions:
-        write_annotation(annotation, Path(a.outdir) / "rmsk.bed.gz")
-    run(alignments, annotation, cfg, a.outdir, read_whitelist(spark, a.whitelist) if a.whitelist else None)
+        write_annotation(annotation, f"{a.outdir}/rmsk.bed.gz", merge=not a.parts)
+    run(alignments, annotation, cfg, a.outdir, read_whitelist(spark, a.whitelist) if a.whitelist else None, merge=not a.parts)
 
 
 if __name__ == "__main__":

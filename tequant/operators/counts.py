@@ -1,76 +1,130 @@
-"""Counts per cell and feature. One cell is one group of the kernel; all else is relational."""
+"""Counts per cell and feature. The kernel takes a component of the UMI graph at a time, and a cell's expectation-maximisation unless the
+cell is large; all else is relational."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tequant.config import QuantConfig
 from tequant.functions.columns import round3
 from tequant.operators import kernel
+from tequant.operators.components import FEW, linked_components
+from tequant.operators.em_dataflow import em_until_settled
 from tequant.operators.umi_graph import edges
+from tequant.staging import cut
 
 LEAST = 0.001
 
 
-def _links(right: pd.DataFrame) -> list[tuple[int, int]]:
-    return list(zip(right["src"].tolist(), right["dst"].tolist(), strict=True))
+#: Cells of the matrix (class or set by feature) up to which a cell's expectation-maximisation is one group of the kernel.
+CELL = 1 << 20
 
 
-def _with_edges(ecs: DataFrame, run, schema: str) -> DataFrame:
-    links = edges(ecs).select(F.col("cb").alias("edge_cb"), "src", "dst")
-    return ecs.groupBy("cb").cogroup(links.groupBy("edge_cb")).applyInPandas(run, schema)
+def component_labels(ecs: DataFrame, links: DataFrame | None = None, *, few: int = FEW) -> DataFrame:
+    """(cb, ec_index, component): the smallest class of each weak component."""
+    found = linked_components(edges(ecs) if links is None else links, few)
+    return ecs.select("cb", "ec_index").join(found, ["cb", "ec_index"], "left").select("cb", "ec_index", F.coalesce("component", "ec_index").alias("component"))
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The molecules of components (cb, nodes, links)."""
+    for batch in batches:
+        out: list[tuple] = []
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            for cb, nodes, links in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                features = {x["ec_index"]: frozenset(x["features"]) for x in nodes}
+                after: dict[int, list[int]] = {}
+                for a, b in sorted((x["src"], x["dst"]) for x in links):
+                    after.setdefault(a, []).append(b)
+                out += [(cb, *u) for u in kernel.component_molecules(sorted(features), features, after, {x["dst"] for x in links})]
+        cb, root, members, found = zip(*out, strict=True) if out else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cb, pa.string()), pa.array(root, pa.int32()), pa.array(members, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["cb", "root", "members", "features"])
+
+
+def molecules(ecs: DataFrame, *, few: int = FEW) -> DataFrame:
+    """(cb, unit_id, root, members, features) by the UMI graph; a molecule's id is its root.
+
+    A class without links is a molecule as it is. The others go to the kernel by component, not by cell.
+    """
+    links = cut(edges(ecs))
+    labels = linked_components(links, few)
+    rows = ecs.select("cb", "ec_index", "features").join(labels, ["cb", "ec_index"], "left")
+    alone = rows.where("component IS NULL").select("cb", F.col("ec_index").alias("root"), F.array("ec_index").alias("members"), "features")
+    node = rows.where("component IS NOT NULL").select("cb", "component", F.struct("ec_index", "features").alias("node"), F.lit(None).cast("struct<src:int,dst:int>").alias("link"))
+    link = links.join(labels.withColumnRenamed("ec_index", "src"), ["cb", "src"]).select("cb", "component", F.lit(None).cast(node.schema["node"].dataType).alias("node"), F.struct("src", "dst").alias("link"))
+    whole = node.unionByName(link).groupBy("cb", "component").agg(F.collect_list("node").alias("nodes"), F.collect_list("link").alias("links"))
+    found = whole.select("cb", "nodes", "links").mapInArrow(_components, "cb string, root int, members array<int>, features array<string>")
+    return alone.unionByName(found).select("cb", F.col("root").alias("unit_id"), "root", "members", "features")
 
 
-def molecules(ecs: DataFrame) -> DataFrame:
-    """(cb, unit_id, root, members, features) by the UMI graph."""
+def reads_as_units(ecs: DataFrame) -> DataFrame:
+    """(cb, unit_id, features) without UMIs: every class is one read."""
+    return ecs.select("cb", F.col("ec_index").alias("unit_id"), "features")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("ec_index")
-        units = kernel.molecules([frozenset(f) for f in left["features"]], _links(right))
-        rows = [(left["cb"].iloc[0], k, u.root, list(u.members), list(u.features)) for k, u in enumerate(units)] if len(left) else []
-        return pd.DataFrame(rows, columns=["cb", "unit_id", "root", "members", "features"])
 
-    return _with_edges(ecs, run, "cb string, unit_id int, root int, members array<int>, features array<string>")
+def _weighed(units: DataFrame) -> DataFrame:
+    """(cb, features, weight): the sets of several features of each cell, and how many molecules have them."""
+    return units.where(F.size("features") > 1).groupBy("cb", "features").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def reads_as_units(ecs: DataFrame) -> DataFrame:
-    """(cb, unit_id, features) without UMIs: every class is one read."""
-    return ecs.select("cb", F.col("ec_index").alias("unit_id"), "features")
+def _fit(pdf: pd.DataFrame, cfg: QuantConfig) -> tuple[list, kernel.Fit]:
+    pdf = pdf.assign(key=pdf["features"].map(tuple)).sort_values("key")  # the order of sums must not depend on the shuffle
+    return kernel.fit_sets(pdf["key"].tolist(), pdf["weight"].to_numpy(), cfg.max_iters, cfg.tolerance)
 
 
-def component_labels(ecs: DataFrame) -> DataFrame:
-    """(cb, ec_index, component): the smallest class of each weak component."""
+def _split(weighed: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of cells with at most so many cells of the matrix, and of those with more."""
+    sizes = weighed.groupBy("cb").agg(F.sum(F.size("features")).alias("n")).where(F.col("n") > cell).select("cb")
+    large = cut(sizes)
+    return weighed.join(large, "cb", "left_anti"), weighed.join(large, "cb", "left_semi")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("ec_index")
-        return pd.DataFrame({"cb": left["cb"], "ec_index": left["ec_index"], "component": kernel.components(len(left), _links(right))})
 
-    return _with_edges(ecs.select("cb", "ec_index", "umi", "features", "read_count"), run, "cb string, ec_index int, component int")
+def _matrix(weighed: DataFrame) -> DataFrame:
+    rows = cut(weighed.select("cb", F.monotonically_increasing_id().alias("row"), "features", "weight"))
+    return rows.select("cb", "row", F.explode("features").alias("feature_id"), "weight")
 
 
-def raw_counts(units: DataFrame, cfg: QuantConfig) -> DataFrame:
-    """(cb, feature_id, count): molecules with one feature count as they are, the others by EM within the cell."""
+def settled_shares(units: DataFrame, cfg: QuantConfig, *, cell: int = CELL) -> DataFrame:
+    """(cb, feature_id, p) of the molecules with several features: by the kernel cell by cell, for large cells as a dataflow."""
+    weighed = cut(_weighed(units))
+    small, large = _split(weighed, cell)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id")
-        total, _ = kernel.count([tuple(f) for f in pdf["features"]], cfg.max_iters, cfg.tolerance)
-        return pd.DataFrame({"cb": pdf["cb"].iloc[0], "feature_id": list(total), "count": list(total.values())})
+        names, f = _fit(pdf, cfg)
+        return pd.DataFrame({"cb": pdf["cb"].iloc[0], "feature_id": names, "p": f.share})
 
-    return units.select("cb", "unit_id", "features").groupBy("cb").applyInPandas(run, "cb string, feature_id string, count double")
+    out = small.groupBy("cb").applyInPandas(run, "cb string, feature_id string, p double")
+    return out if large.isEmpty() else out.unionByName(em_until_settled(_matrix(large), cfg.max_iters, cfg.tolerance)[0])
 
 
-def em_stats(units: DataFrame, cfg: QuantConfig) -> DataFrame:
+def raw_counts(units: DataFrame, cfg: QuantConfig, *, cell: int = CELL) -> DataFrame:
+    """(cb, feature_id, count): molecules with one feature count as they are, the others by EM within the cell."""
+    return _with_unique(units, settled_shares(units, cfg, cell=cell))
+
+
+def _with_unique(units: DataFrame, shares: DataFrame) -> DataFrame:
+    n = units.where(F.size("features") > 1).groupBy("cb").agg(F.count(F.lit(1)).alias("n"))
+    shared = shares.where("p > 0").join(n, "cb").select("cb", "feature_id", (F.col("p") * F.col("n")).alias("count"))
+    return unique_counts(units).unionByName(shared).groupBy("cb", "feature_id").agg(F.sum("count").alias("count"))
+
+
+def em_stats(units: DataFrame, cfg: QuantConfig, *, cell: int = CELL) -> DataFrame:
     """(cb, cycles, converged, loglik, increment) of the cells with molecules of several features."""
+    weighed = cut(_weighed(units))
+    small, large = _split(weighed, cell)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id")
-        _, f = kernel.count([tuple(x) for x in pdf["features"]], cfg.max_iters, cfg.tolerance)
+        _, f = _fit(pdf, cfg)
         return pd.DataFrame({"cb": [pdf["cb"].iloc[0]], "cycles": [f.cycles], "converged": [f.converged], "loglik": [f.loglik], "increment": [f.increment]})
 
-    shared = units.where(F.size("features") > 1).select("cb", "unit_id", "features")
-    return shared.groupBy("cb").applyInPandas(run, "cb string, cycles int, converged boolean, loglik double, increment double")
+    out = small.groupBy("cb").applyInPandas(run, "cb string, cycles int, converged boolean, loglik double, increment double")
+    return out if large.isEmpty() else out.unionByName(em_until_settled(_matrix(large), cfg.max_iters, cfg.tolerance)[1])
 
 
 def reported(counts: DataFrame) -> DataFrame:
@@ -124,9 +178,7 @@ def em_loglik(units: DataFrame, cycles: int) -> DataFrame:
 
 def counts_by_cycles(units: DataFrame, cycles: int) -> DataFrame:
     """(cb, feature_id, count) with a fixed number of cycles, relational throughout."""
-    n = units.where(F.size("features") > 1).groupBy("cb").agg(F.count(F.lit(1)).alias("n"))
-    shared = em_shares(units, cycles).join(n, "cb").select("cb", "feature_id", (F.col("p") * F.col("n")).alias("count"))
-    return unique_counts(units).unionByName(shared).groupBy("cb", "feature_id").agg(F.sum("count").alias("count"))
+    return _with_unique(units, em_shares(units, cycles))
 
 
 def ec_dump(ecs: DataFrame, units: DataFrame | None, barcodes: DataFrame) -> DataFrame:

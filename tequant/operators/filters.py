@@ -13,18 +13,19 @@ class MissingTags(ValueError):
     """No record has the tags asked for."""
 
 
-def valid_alignments(alignments: DataFrame, cfg: QuantConfig, whitelist: DataFrame | None = None) -> DataFrame:
+def valid_alignments(alignments: DataFrame, cfg: QuantConfig, whitelist: DataFrame | None = None, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """aid, cb, umi, read, chrom, strand, blocks of the alignments with a usable barcode (and UMI).
 
     Barcodes that are empty or ``-`` go; so do UMIs that are empty, hold an N or repeat one base. Without UMIs the read's name stands
-    in for one. The whitelist holds whole tag values; Spark chooses by its size how the semi-join runs.
+    in for one. Columns of ``carry`` stay. The whitelist holds whole tag values; Spark chooses by its size how the semi-join runs.
     """
     if whitelist is not None:
         alignments = alignments.join(whitelist.select(F.col("cb").alias("_listed")), F.element_at("tags", cfg.cb_tag) == F.col("_listed"), "left_semi")
     umi = F.col("qname") if cfg.no_umi else tag(F.col("tags"), cfg.umi_tag, split_on_colon=cfg.split_tag_on_colon)
     cb = tag(F.col("tags"), cfg.cb_tag, split_on_colon=cfg.split_tag_on_colon)
-    rows = alignments.select("aid", cb.alias("cb"), umi.alias("umi"), F.substring_index("qname", "/", 1).alias("read"), "chrom", "strand", "blocks")
+    rows = alignments.select("aid", cb.alias("cb"), umi.alias("umi"), F.substring_index("qname", "/", 1).alias("read"), "chrom", "strand", "blocks", *carry)
     rows = rows.where(~F.col("cb").isin("", "-"))
+    # a fixed value: UMIs that repeat one base
     return rows if cfg.no_umi else rows.where(~F.contains("umi", F.lit("N")) & ~F.col("umi").rlike("^$|^(A+|G+|T+|C+)$"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -33,54 +35,188 @@ def components(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
-def _cover(start: int, nodes: list[int], out: dict[int, list[int]], features: list[frozenset], below: int) -> list[list[int]] | None:
-    """Splits the nodes, `start` first, into what each root still reaches through nodes that share a feature with the root; None if that
-    takes `below` paths or more."""
-    free, found = set(nodes), []
-    for root in [start, *(n for n in nodes if n != start)]:
-        if root not in free:
-            continue
-        if len(found) + 1 >= below:
-            return None
-        free.discard(root)
-        path, todo = [root], [root]
-        while todo:
-            for y in out.get(todo.pop(), ()):
-                if y in free and features[root] & features[y]:
-                    free.discard(y)
-                    path.append(y)
-                    todo.append(y)
-        found.append(path)
+def _path(root: int, out: dict[int, list[int]], features: list[frozenset], free) -> list[int]:
+    """The root, then what it reaches through free nodes that share a feature with it."""
+    own, path, todo, met = features[root], [root], [root], {root}
+    while todo:
+        for y in out.get(todo.pop(), ()):
+            if y not in met and free(y) and not own.isdisjoint(features[y]):
+                met.add(y)
+                path.append(y)
+                todo.append(y)
+    return path
+
+
+def _cover(start: int | None, nodes: list[int], out: dict[int, list[int]], features: list[frozenset]) -> list[list[int]]:
+    """Splits the nodes, `start` first if there is one, into what each root still reaches through nodes that share a feature with it."""
+    left, found = set(nodes), []
+    for root in nodes if start is None else [start, *(n for n in nodes if n != start)]:
+        if root in left:
+            path = _path(root, out, features, left.__contains__)
+            left.difference_update(path)
+            found.append(path)
     return found
 
 
-def molecules(features: list[frozenset], links: list[tuple[int, int]]) -> list[Unit]:
-    """The molecules of a cell's classes, given in index order.
+class _Covers:
+    """The covers of one component. The plain one, whose roots come in index order, is built; how many paths the others have is told by
+    what changes against it if a start comes first."""
+
+    TAKEN = -1  # when the start takes its nodes: before all others
+
+    def __init__(self, nodes: list[int], out: dict[int, list[int]], features: list[frozenset]):
+        self.nodes, self.out, self.features = nodes, out, features
+        self.into: dict[int, list[int]] = {}
+        for a in nodes:
+            for b in out.get(a, ()):
+                self.into.setdefault(b, []).append(a)
+        self.plain = {p[0]: p for p in _cover(None, nodes, out, features)}
+        self.owner = {n: root for root, path in self.plain.items() for n in path}
+
+    def size(self, start: int) -> int:
+        """The number of paths if `start` comes first.
+
+        Roots have their turns in index order. A root's path can only differ from the plain one if a node of it was taken before its
+        turn, or if a node that was taken before in the plain cover now is not and has an edge from the path. Such roots, and nodes
+        that lost their owner, have their turns again, in order; all others stay as they are.
+        """
+        now: dict[int, int | None] = {}  # owners that differ; None: not taken yet
+        paths, again, waiting = len(self.plain) + 1, [], set()
+
+        def of(n: int) -> int | None:
+            return now[n] if n in now else self.owner[n]
+
+        def wake(n: int) -> None:
+            if n not in waiting:
+                waiting.add(n)
+                heappush(again, n)
+
+        for n in _path(start, self.out, self.features, lambda n: True):
+            wake(self.owner[n])
+            now[n] = self.TAKEN
+        grown: dict[int, list[int]] = {}  # paths that were built anew
+        while again:
+            turn = heappop(again)
+            waiting.discard(turn)
+            before, own = grown.get(turn, self.plain.get(turn)), of(turn)
+            root = own is None or own == turn  # else it has been taken
+            # free are nodes without an owner, and those of roots whose turn is now or later
+            path = _path(turn, self.out, self.features, lambda n: (o := of(n)) is None or o >= turn) if root else []
+            paths += bool(root) - (before is not None)
+            for n in path:
+                o = of(n)
+                if o != turn:
+                    now[n] = turn
+                    if o is not None:
+                        wake(o)
+            kept = set(path)
+            grown[turn] = path if root else None
+            for n in before or ():
+                if n not in kept and of(n) == turn:
+                    now[n] = None
+                    wake(n)
+                    for a in self.into.get(n, ()):
+                        if (o := of(a)) is not None and o > turn:
+                            wake(o)
+        return paths
+
+    def kinds(self, starts: list[int], entered: set[int]) -> list[int]:
+        """Of starts that take the same nodes (but for themselves, if nothing leads to them) the first."""
+        groups: dict[bytes, list[int]] = {}
+        seen: dict[frozenset, bytes] = {}
+        place = {n: k for k, n in enumerate(self.nodes)}
+        with_feature: dict = {}
+        for n in self.nodes:
+            for f in self.features[n]:
+                with_feature[f] = with_feature.get(f, 0) | 1 << place[n]
+        for s in starts:
+            own = self.features[s]
+            if own not in seen:  # told apart by the nodes that share a feature with it
+                alike = 0
+                for f in own:
+                    alike |= with_feature[f]
+                seen[own] = blake2b(alike.to_bytes(len(self.nodes) // 8 + 1, "little"), digest_size=16).digest()
+            groups.setdefault(seen[own], []).append(s)
+        first: list[int] = []
+        for group in groups.values():
+            if len(group) == 1:
+                first += group
+                continue
+            part = self._strong(group)
+            known = set()
+            for s in group:
+                own = self.features[s]
+                mark = part[s] if s in entered else frozenset(part[y] for y in self.out.get(s, ()) if not own.isdisjoint(self.features[y]))
+                if mark not in known:
+                    known.add(mark)
+                    first.append(s)
+        return sorted(first)
 
-    Each component is covered from every node without a predecessor (from every node, if all have one); the first cover with the
-    fewest paths counts. A path is a molecule with its root's features, or with those of the whole component if no node was without a
-    predecessor.
+    def _strong(self, group: list[int]) -> dict[int, int]:
+        """The strongly connected part of each node that the group reaches; its members agree in which nodes share a feature with them."""
+        own, number, low, part, stack = self.features[group[0]], {}, {}, {}, []
+        for s in group:
+            if s in number:
+                continue
+            calls = [(s, iter(self.out.get(s, ())))]
+            number[s] = low[s] = len(number)
+            stack.append(s)
+            while calls:
+                n, after = calls[-1]
+                for y in after:
+                    if own.isdisjoint(self.features[y]):
+                        continue
+                    if y not in number:
+                        number[y] = low[y] = len(number)
+                        stack.append(y)
+                        calls.append((y, iter(self.out.get(y, ()))))
+                        break
+                    if y not in part:
+                        low[n] = min(low[n], number[y])
+                else:
+                    calls.pop()
+                    if calls:
+                        low[calls[-1][0]] = min(low[calls[-1][0]], low[n])
+                    if low[n] == number[n]:
+                        while True:
+                            y = stack.pop()
+                            part[y] = n
+                            if y == n:
+                                break
+        return part
+
+
+def component_molecules(nodes: list[int], features, out: dict[int, list[int]], entered: set[int]) -> list[Unit]:
+    """The molecules of one component, whose nodes are in index order.
+
+    It is covered from every node without a predecessor (from every node, if all have one); the first cover with the fewest paths
+    counts. A path is a molecule with its root's features, or with those of the whole component if no node was without a predecessor.
     """
+    if len(nodes) == 1:
+        return [Unit(nodes[0], (nodes[0],), tuple(sorted(features[nodes[0]])))]
+    starts = [n for n in nodes if n not in entered]
+    whole = None if starts else frozenset().union(*(features[n] for n in nodes))
+    best, fewest = None, len(nodes) + 1
+    covers = _Covers(nodes, out, features)
+    for s in covers.kinds(starts or nodes, entered):
+        size = covers.size(s)
+        if size < fewest:
+            best, fewest = s, size
+        if fewest == max(1, len(starts)):  # nothing leads to a start, so each has a path of its own: there is no better cover
+            break
+    return [Unit(p[0], tuple(p), tuple(sorted(whole if whole is not None else features[p[0]]))) for p in _cover(best, nodes, out, features)]
+
+
+def molecules(features: list[frozenset], links: list[tuple[int, int]]) -> list[Unit]:
+    """The molecules of classes given in index order, component by component."""
     groups: dict[int, list[int]] = {}
     for node, least in enumerate(components(len(features), links)):
         groups.setdefault(least, []).append(node)
     out: dict[int, list[int]] = {}
-    entered = set()
     for a, b in sorted(links):
         out.setdefault(a, []).append(b)
-        entered.add(b)
-    units = []
-    for least in sorted(groups):
-        nodes = groups[least]
-        starts = [n for n in nodes if n not in entered]
-        whole = None if starts else frozenset().union(*(features[n] for n in nodes))
-        best = None
-        for s in starts or nodes:
-            best = _cover(s, nodes, out, features, len(best) if best else len(nodes) + 1) or best
-            if len(best) == max(1, len(starts)):  # nothing leads to a start, so each has a path of its own: there is no better cover
-                break
-        units += [Unit(p[0], tuple(p), tuple(sorted(whole if whole is not None else features[p[0]]))) for p in best]
-    return units
+    entered = {b for _, b in links}
+    return [u for least in sorted(groups) for u in component_molecules(groups[least], features, out, entered)]
 
 
 class Fit(NamedTuple):
@@ -91,25 +227,34 @@ class Fit(NamedTuple):
     increment: float
 
 
-def log_likelihood(row: np.ndarray, column: np.ndarray, p: np.ndarray, n_rows: int) -> float:
-    return float(np.log(np.bincount(row, p[column], n_rows) + EPS).sum())
+def log_likelihood(row: np.ndarray, column: np.ndarray, p: np.ndarray, weight: np.ndarray) -> float:
+    return float((weight * np.log(np.bincount(row, p[column], len(weight)) + EPS)).sum())
 
 
-def fit(row: np.ndarray, column: np.ndarray, n_rows: int, n_columns: int, cycles: int = 100, tolerance: float = 1e-4) -> Fit:
-    """Shares of the columns by EM, from even shares; row[k], column[k] are the filled cells of the compatibility matrix."""
-    p = np.full(n_columns, 1 / n_columns)
-    before = log_likelihood(row, column, p, n_rows)
+def fit(row: np.ndarray, column: np.ndarray, weight: np.ndarray, n_columns: int, cycles: int = 100, tolerance: float = 1e-4) -> Fit:
+    """Shares of the columns by EM, from even shares; row[k], column[k] are the filled cells of the compatibility matrix, whose rows count
+    as often as they weigh."""
+    p, n_rows = np.full(n_columns, 1 / n_columns), len(weight)
+    before = log_likelihood(row, column, p, weight)
     for cycle in range(1, cycles + 1):
         w = p[column]
-        part = np.bincount(column, w / np.bincount(row, w, n_rows)[row], n_columns)
+        part = np.bincount(column, w * (weight / np.bincount(row, w, n_rows))[row], n_columns)
         p = part / part.sum()
-        now = log_likelihood(row, column, p, n_rows)
+        now = log_likelihood(row, column, p, weight)
         gain, before = abs(now - before), now
         if gain < tolerance:
             return Fit(p, cycle, True, now, gain)
     return Fit(p, cycles, False, before, gain)
 
 
+def fit_sets(sets: list[tuple], weight: np.ndarray, cycles: int = 100, tolerance: float = 1e-4) -> tuple[list, Fit]:
+    """The features of some sets in order, and the fit of the sets with their weights."""
+    names = sorted({f for u in sets for f in u})
+    place = {f: k for k, f in enumerate(names)}
+    row = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
+    return names, fit(row, np.array([place[f] for u in sets for f in u]), np.asarray(weight, np.float64), len(names), cycles, tolerance)
+
+
 def count(units: list[tuple], cycles: int = 100, tolerance: float = 1e-4) -> tuple[dict, Fit | None]:
     """Counts per feature of a cell's molecules, and the fit of those with several features."""
     total: dict = {}
@@ -123,10 +268,7 @@ def count(units: list[tuple], cycles: int = 100, tolerance: float = 1e-4) -> tup
             raise ValueError("a molecule has no feature")
     if not shared:
         return total, None
-    names = sorted({f for u in shared for f in u})
-    place = {f: k for k, f in enumerate(names)}
-    row = np.repeat(np.arange(len(shared)), [len(u) for u in shared])
-    result = fit(row, np.array([place[f] for u in shared for f in u]), len(shared), len(names), cycles, tolerance)
+    names, result = fit_sets(shared, np.ones(len(shared)), cycles, tolerance)
     for f, share in zip(names, result.share.tolist(), strict=True):
         if share > 0:
             total[f] = total.get(f, 0.0) + share * len(shared)

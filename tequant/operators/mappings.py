@@ -9,14 +9,20 @@ from tequant.functions.columns import locus_name, subfamily
 from tequant.staging import cut
 
 
-def read_features(hits: DataFrame) -> DataFrame:
-    """(cb, umi, read, features): the sorted distinct features of each read. Repeated hits are merged before the shuffle."""
-    return hits.groupBy("cb", "umi", "read").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+def read_features(hits: DataFrame, *by: str) -> DataFrame:
+    """(cb, umi, read, features), behind the columns ``by``: the sorted distinct features of each read. Repeated hits are merged before the
+    shuffle."""
+    return hits.groupBy(*by, "cb", "umi", "read").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+
+
+def class_counts(reads: DataFrame, *by: str) -> DataFrame:
+    """(cb, umi, features, read_count), behind the columns ``by``."""
+    return reads.groupBy(*by, "cb", "umi", "features").agg(F.count(F.lit(1)).cast("int").alias("read_count"))
 
 
 def mappings(hits: DataFrame) -> DataFrame:
     """(cb, umi, features, read_count)."""
-    return read_features(hits).groupBy("cb", "umi", "features").agg(F.count(F.lit(1)).cast("int").alias("read_count"))
+    return class_counts(read_features(hits))
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -42,6 +48,16 @@ def feature_index(maps: DataFrame, *, locus: bool = False) -> DataFrame:
 
 
 def equivalence_classes(maps: DataFrame) -> DataFrame:
-    """(cb, ec_index, umi, features, read_count): classes of a cell, from 0 in byte order of the UMI, then of the joined features."""
-    order = Window.partitionBy("cb").orderBy("umi", F.array_join("features", ","))
-    return maps.select("cb", (F.row_number().over(order) - 1).alias("ec_index"), "umi", "features", "read_count")
+    """(cb, ec_index, umi, features, read_count): classes of a cell, from 0 in byte order of the UMI, then of the joined features.
+
+    Classes are dealt by range of (cell, UMI, features) and numbered within range and cell, after the cell's classes in the ranges before:
+    a cell with very many classes lies in several ranges.
+    """
+    order = ["cb", "umi", "_joined"]
+    dealt = maps.withColumn("_joined", F.array_join("features", ",")).repartitionByRange(*order)
+    dealt = cut(dealt.withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("cb", "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per cell and range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cb").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part", "cb").orderBy("umi", "_joined"))
+    rows = dealt.withColumn("_place", place).join(sizes.select("cb", "_part", before.alias("_before")), ["_part", "cb"])
+    return rows.select("cb", (F.col("_place") + F.col("_before") - 1).cast("int").alias("ec_index"), "umi", "features", "read_count")

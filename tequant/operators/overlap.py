@@ -1,8 +1,11 @@
 """Overlap join of alignment blocks and annotated intervals.
 
-Spark has no interval join, so both sides are dealt to fixed bins and joined on (chromosome, bin): a pair that shares several bins is
-kept in the first of them alone, which makes the result exact without a distinct. Blocks and intervals are short against a bin, so few
-rows are repeated; a bin that is hot is split by adaptive execution, as it is an ordinary inner equi-join.
+Spark has no interval join. An annotation of INDEX_BYTES at most goes to the tasks as a packed index, which each batch of alignments is
+searched in: alignments are neither exploded nor shuffled, and their blocks add up where they are.
+
+A larger annotation is dealt to fixed bins, as are the blocks, and joined on (chromosome, bin): a pair that shares several bins is
+kept in the first of them alone, which makes the result exact without a distinct. A bin that is hot is split by adaptive execution, as it
+is an ordinary inner equi-join. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,38 +14,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tequant.config import QuantConfig
+from tequant.operators.interval_index import IntervalIndex
+
+INDEX_BYTES = 256 << 20
+ROW_BYTES = 64  # of an interval in the index, without its feature
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
 
 
-def overlaps(alignments: DataFrame, annotation: DataFrame, cfg: QuantConfig) -> DataFrame:
-    """(aid, cb, umi, read, te_id, feature, ov) for each alignment and interval that meet the overlap and strand conditions.
+def _wanted_strand(annotation: DataFrame, cfg: QuantConfig) -> Column:
+    """The strand an alignment must have to count for an interval."""
+    if cfg.strandedness == "unstranded":
+        return F.lit(None).cast("string")
+    if "strand" not in annotation.columns:
+        raise ValueError("stranded counting needs an annotation with strands")
+    return F.col("strand") if cfg.strandedness == "forward" else F.when(F.col("strand") == "+", "-").otherwise("+")
+
+
+def overlaps(alignments: DataFrame, annotation: DataFrame, cfg: QuantConfig, *, index_bytes: int = INDEX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(aid, cb, umi, read, te_id, feature, ov), and the columns of ``carry``, for each alignment and interval that meet the overlap and strand conditions.
 
     Overlaps add up over an alignment's blocks. The least overlap is 1 bp, or what the configuration asks for: bp, or a fraction of the
-    alignment's block lengths.
+    alignment's block lengths. The annotation is measured, and read to the driver if it is small enough for the index.
     """
-    if cfg.strandedness != "unstranded" and "strand" not in annotation.columns:
-        raise ValueError("stranded counting needs an annotation with strands")
+    te = annotation.where("start < end").select("te_id", "chrom", "start", "end", "feature", _wanted_strand(annotation, cfg).alias("strand"))
+    size = te.agg(F.coalesce(F.sum(F.octet_length("feature") + ROW_BYTES), F.lit(0))).first()[0]
+    return (indexed_overlaps if size <= index_bytes else binned_overlaps)(alignments, te, cfg, carry)
+
+
+def indexed_overlaps(alignments: DataFrame, te: DataFrame, cfg: QuantConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """By the index. ``te`` has the columns te_id, chrom, start, end, feature and the wanted strand."""
+    index = te.sparkSession.sparkContext.broadcast(vars(IntervalIndex(te.where("chrom IS NOT NULL").toArrow())))
+    strands, least, fraction = cfg.strandedness != "unstranded", cfg.min_bp_overlap or 1, float(cfg.min_fraction_overlap or 0)
+    rows = alignments.select("aid", "cb", "umi", "read", "chrom", "strand", "blocks", *carry)
+    kinds = {**dict(rows.dtypes), **dict(te.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("aid", "cb", "umi", "read", "te_id", "feature")) + ", ov long" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return rows.mapInArrow(lambda batches: IntervalIndex.of(index.value).search(batches, strands, least, fraction), schema)
+
+
+def binned_overlaps(alignments: DataFrame, te: DataFrame, cfg: QuantConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """By bins, with ``te`` as above."""
     w = cfg.bin_width
     length = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + b.end - b.start)
-    blocks = alignments.select("aid", "cb", "umi", "read", "chrom", F.col("strand").alias("a_strand"), length.alias("length"), F.explode("blocks").alias("b"))
+    blocks = alignments.select("aid", "cb", "umi", "read", "chrom", F.col("strand").alias("a_strand"), length.alias("length"), F.explode("blocks").alias("b"), *carry)
     blocks = blocks.select("*", F.col("b.start").alias("a_start"), F.col("b.end").alias("a_end")).drop("b").where("a_start < a_end")
     blocks = blocks.select("*", _bins(F.col("a_start"), F.col("a_end"), w).alias("bin"))
-    te = annotation.where("start < end").select("te_id", "chrom", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "feature", *([F.col("strand").alias("t_strand")] if "strand" in annotation.columns else []))
+    te = te.select("te_id", "chrom", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "feature", F.col("strand").alias("a_strand"))
     te = te.select("*", _bins(F.col("t_start"), F.col("t_end"), w).alias("bin"))
-    on = ["chrom", "bin"]
-    if cfg.strandedness != "unstranded":
-        te = te.withColumn("a_strand", F.col("t_strand") if cfg.strandedness == "forward" else F.when(F.col("t_strand") == "+", "-").otherwise("+"))
-        on.append("a_strand")
-    pairs = blocks.join(te, on).where((F.col("a_start") < F.col("t_end")) & (F.col("t_start") < F.col("a_end")))
+    on = ["chrom", "bin"] + ["a_strand"] * (cfg.strandedness != "unstranded")
+    pairs = blocks.join(te if len(on) == 3 else te.drop("a_strand"), on).where((F.col("a_start") < F.col("t_end")) & (F.col("t_start") < F.col("a_end")))
     pairs = pairs.where(F.col("bin") == F.floor(F.greatest("a_start", "t_start") / w))
     ov = F.least("a_end", "t_end") - F.greatest("a_start", "t_start")
     same = lambda c: F.any_value(c).alias(c)  # noqa: E731  one value for an alignment or an interval
-    out = pairs.groupBy("aid", "te_id").agg(F.sum(ov).alias("ov"), *map(same, ("cb", "umi", "read", "feature", "length")))
+    out = pairs.groupBy("aid", "te_id").agg(F.sum(ov).alias("ov"), *map(same, ("cb", "umi", "read", "feature", "length", *carry)))
     if cfg.min_bp_overlap:
         out = out.where(F.col("ov") >= cfg.min_bp_overlap)
     if cfg.min_fraction_overlap:
         out = out.where(F.col("ov") >= F.lit(float(cfg.min_fraction_overlap)) * F.col("length"))
-    return out.select("aid", "cb", "umi", "read", "te_id", "feature", "ov")
+    return out.select("aid", "cb", "umi", "read", "te_id", "feature", "ov", *carry)

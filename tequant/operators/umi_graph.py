@@ -1,8 +1,11 @@
 """The graph of UMIs that may stem from each other by a sequencing error.
 
-Two classes of a cell whose UMIs differ in at most one place agree in one half of them, so candidates come from an equi-join on (cell,
-half, its letters). A pair that agrees in both halves is kept once. UMIs of different lengths are compared up to the end of the shorter
-one: each is entered under the lengths of its cell that it reaches, and a pair counts under the shorter one's.
+Two classes of a cell whose UMIs differ in at most one place agree once that place is blanked, so pairs come from an equi-join on (cell,
+UMI with one place blanked): every row of the join is a pair, and no stretch of letters that many UMIs share makes a hot key. Equal UMIs
+meet under every place and are kept under the first. UMIs of different lengths are compared up to the end of the shorter one: each is
+entered under the lengths of its cell that it reaches, and a pair counts under the shorter one's.
+
+The join carries places and UMIs alone; features, which are long, are fetched for the pairs that it finds.
 """
 
 from __future__ import annotations
@@ -10,36 +13,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tequant.functions.columns import hamming
+BLANK = "_"
 
 
-def _halves(ecs: DataFrame) -> DataFrame:
+def _blanked(ecs: DataFrame) -> DataFrame:
+    """(cb, ec_index, size, l, place, key): each UMI, cut to each length it reaches, under each of its places."""
     lengths = ecs.groupBy("cb").agg(F.collect_set(F.length("umi")).alias("lengths"))  # a few per cell
     reached = F.explode(F.filter("lengths", lambda n: n <= F.length("umi")))
-    rows = ecs.join(lengths, "cb").select(*ecs.columns, reached.alias("l"))
-    cut = F.ceil(F.col("l") / 2).cast("int")
-    first, second = F.substring(F.col("umi"), F.lit(1), cut), F.substring(F.col("umi"), cut + 1, F.col("l") - cut)
-    parts = F.array(F.struct(F.lit(1).alias("no"), first.alias("letters")), F.struct(F.lit(2).alias("no"), second.alias("letters")))
-    return rows.select("*", first.alias("first"), F.explode(parts).alias("half")).select("*", "half.no", "half.letters").drop("half")
+    rows = ecs.select("cb", "ec_index", "umi").join(lengths, "cb").select("cb", "ec_index", "umi", F.length("umi").alias("size"), reached.alias("l"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.greatest("l", F.lit(1)))).alias("place"))
+    key = F.concat(F.substring("umi", F.lit(1), F.col("place") - 1), F.lit(BLANK), F.substring(F.col("umi"), F.col("place") + 1, F.col("l") - F.col("place")))
+    return rows.select("cb", "ec_index", "size", "l", F.substring("umi", F.col("place"), F.lit(1)).alias("letter"), "place", key.alias("key"))
 
 
 def candidate_pairs(ecs: DataFrame) -> DataFrame:
-    """(cb, i, j, i_*, j_*), i < j: pairs with one differing letter at most."""
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        names = {"ec_index": p, "umi": f"{p}_umi", "features": f"{p}_features", "read_count": f"{p}_count", "first": f"{p}_first"}
-        return df.withColumnsRenamed(names)
-
-    halves = _halves(ecs)
-    pairs = side(halves, "i").join(side(halves, "j"), ["cb", "l", "no", "letters"]).where("i < j").where("no = 1 OR i_first <> j_first")
-    pairs = pairs.where(F.col("l") == F.least(F.length("i_umi"), F.length("j_umi")))
-    cols = ["cb", "i", "j", "i_umi", "j_umi", "i_features", "j_features", "i_count", "j_count"]
-    return pairs.select(*cols).where(hamming(F.col("i_umi"), F.col("j_umi")) <= 1)
+    """(cb, i, j), i < j: pairs with one differing letter at most."""
+    keys = _blanked(ecs)
+    side = lambda p: keys.select("cb", "l", "place", "key", F.col("ec_index").alias(p), F.col("size").alias(f"{p}_size"), F.col("letter").alias(f"{p}_letter"))
+    pairs = side("i").join(side("j"), ["cb", "l", "place", "key"]).where("i < j").where(F.col("l") == F.least("i_size", "j_size"))
+    return pairs.where("place = 1 OR i_letter <> j_letter").select("cb", "i", "j")
 
 
 def edges(ecs: DataFrame) -> DataFrame:
     """(cb, src, dst): src may have given rise to dst: one error at most, a common feature, and 2 * dst - 1 reads or more."""
-    pairs = candidate_pairs(ecs).where(F.arrays_overlap("i_features", "j_features"))
+    pairs = candidate_pairs(ecs)
+    for p in ("i", "j"):
+        pairs = pairs.join(ecs.select("cb", F.col("ec_index").alias(p), F.col("features").alias(f"{p}_features"), F.col("read_count").alias(f"{p}_count")), ["cb", p])
+    pairs = pairs.where(F.arrays_overlap("i_features", "j_features"))
     down = F.when(F.col("i_count") >= 2 * F.col("j_count") - 1, F.struct(F.col("i").alias("src"), F.col("j").alias("dst")))
     up = F.when(F.col("j_count") >= 2 * F.col("i_count") - 1, F.struct(F.col("j").alias("src"), F.col("i").alias("dst")))
     return pairs.select("cb", F.explode(F.array_compact(F.array(down, up))).alias("e")).select("cb", "e.src", "e.dst")

@@ -57,6 +57,10 @@ def _fine(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.floor(F.col("p") * 1e9 + 0.5001) / 1e9)
 
 
+def _rounded(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({"loglik": round3(F.col("loglik")), "increment": F.rint(F.col("increment") * 1e6) / 1e6})
+
+
 def _plain(df: DataFrame) -> DataFrame:
     return df.select("aid", "cb", "umi", "read", "chrom", "strand")
 
@@ -97,9 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_index": lambda s, d: mappings.feature_index(_maps(s, d)),
     "feature_index_locus": lambda s, d: _run(s, d, _loci(s, d), locus=True).features,
     "ec_index": lambda s, d: _flat(_ecs(s, d)),
-    "umi_candidate_pairs": lambda s, d: umi_graph.candidate_pairs(_ecs(s, d)).select("cb", "i", "j"),
+    "umi_candidate_pairs": lambda s, d: umi_graph.candidate_pairs(_ecs(s, d)),
     "umi_edges": lambda s, d: umi_graph.edges(_ecs(s, d)),
-    "umi_components": lambda s, d: C.component_labels(_ecs(s, d)),
+    "umi_components": lambda s, d: C.component_labels(_ecs(s, d), few=0),  # by rounds alone
     "umi_parents": lambda s, d: (lambda e: umi_graph.parents(e, umi_graph.edges(e)))(_ecs(s, d)),
     "umi_units_small": _small_units,
     "umi_units": lambda s, d: _flat(C.molecules(_ecs(s, d)).select("cb", "unit_id", "root", "features")),
@@ -114,7 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "counts_umi": lambda s, d: _run(s, d).counts,
     "counts_no_umi": lambda s, d: _run(s, d, no_umi=True).counts,
     "counts_locus": lambda s, d: _run(s, d, _loci(s, d), locus=True).counts,
-    "em_stats": lambda s, d: C.em_stats(_run(s, d).units, V.config()),
+    "counts_no_umi_dataflow": lambda s, d: C.reported(C.raw_counts(_reads(s, d), V.config(no_umi=True), cell=0)),
+    "em_stats": lambda s, d: _rounded(C.em_stats(_run(s, d).units, V.config())),
+    "em_stats_no_umi": lambda s, d: _rounded(C.em_stats(_reads(s, d), V.config(no_umi=True))),
     "matrix_header_no_umi_k5": lambda s, d: matrix_header(_run(s, d, no_umi=True, max_iters=5, tolerance=0.0)),
+    "matrix_header_no_umi": lambda s, d: matrix_header(_run(s, d, no_umi=True)),
     "matrix_header": lambda s, d: matrix_header(_run(s, d)),
 }

@@ -39,6 +39,30 @@ walk AS (SELECT cb, i AS n0, i AS m FROM ec UNION SELECT walk.cb, n0, dst FROM w
 comp AS (SELECT cb, n0 AS i, CAST(min(m) AS INT) AS c FROM walk GROUP BY ALL)"""
 _UNIT = """csize AS (SELECT cb, c, count(*) AS size FROM comp GROUP BY ALL),
 member AS (SELECT ec.*, c, size, EXISTS (SELECT 1 FROM edge WHERE edge.cb = ec.cb AND dst = i) AS entered FROM ec JOIN comp USING (cb, i) JOIN csize USING (cb, c) WHERE size <= 2)"""
+# The covers of components of several classes, one for each start: `used` are the nodes taken so far and `own` their roots, `front` those
+# whose successors come next; without any, the first free node becomes a root. The first cover with the fewest roots counts.
+_COVER = """grp AS (SELECT cb, c, list(i ORDER BY i) AS nodes, list(fs ORDER BY i) AS nfs FROM ec JOIN comp USING (cb, i) GROUP BY cb, c HAVING count(*) > 1),
+lnk AS (SELECT edge.cb, c, list({'s': src, 'd': dst}) AS es FROM edge JOIN comp ON comp.cb = edge.cb AND comp.i = src GROUP BY edge.cb, c),
+net AS (SELECT *, list_filter(nodes, lambda x: NOT list_contains(list_transform(es, lambda e: e.d), x)) AS st FROM grp JOIN lnk USING (cb, c)),
+cover AS (SELECT cb, c, s, s AS root, [s] AS used, [s] AS own, [s] AS front FROM (SELECT cb, c, unnest(CASE WHEN len(st) > 0 THEN st ELSE nodes END) AS s FROM net)
+ UNION ALL SELECT cb, c, s, CASE WHEN len(front) = 0 THEN rest[1] ELSE root END, used || add, own || list_transform(add, lambda x: CASE WHEN len(front) = 0 THEN rest[1] ELSE root END), add
+ FROM (SELECT *, CASE WHEN len(front) = 0 THEN rest[1:1] ELSE list_distinct(list_transform(list_filter(es, lambda e: list_contains(front, e.s) AND NOT list_contains(used, e.d)
+    AND len(list_intersect(nfs[list_position(nodes, e.d)], nfs[list_position(nodes, root)])) > 0), lambda e: e.d)) END AS add
+  FROM (SELECT cover.*, nodes, nfs, es, list_filter(nodes, lambda x: NOT list_contains(used, x)) AS rest FROM cover JOIN net USING (cb, c)) WHERE len(front) > 0 OR len(rest) > 0)),
+pick AS (SELECT * FROM cover JOIN net USING (cb, c) WHERE len(front) = 0 AND len(used) = len(nodes) QUALIFY row_number() OVER (PARTITION BY cb, c ORDER BY len(list_distinct(own)), s) = 1),
+unit AS (SELECT cb, i AS root, fs FROM ec JOIN comp USING (cb, i) WHERE (cb, c) NOT IN (SELECT (cb, c) FROM grp)
+ UNION ALL SELECT cb, root, CASE WHEN len(st) > 0 THEN nfs[list_position(nodes, root)] ELSE list_sort(list_distinct(flatten(nfs))) END FROM (SELECT * EXCLUDE (root), unnest(list_distinct(own)) AS root FROM pick))"""
+# Shares of u(cb, fs) until the log-likelihood gains less than 1e-4, 100 cycles at most; `settled` has each cell's last cycle.
+_SETTLE = """sets AS (SELECT cb, fs, count(*) AS wt, row_number() OVER () AS r FROM u WHERE len(fs) > 1 GROUP BY cb, fs),
+m AS (SELECT cb, r, wt, unnest(fs) AS f FROM sets),
+ft AS (SELECT cb, f, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY cb) AS p FROM (SELECT DISTINCT cb, f FROM m)),
+ll0 AS (SELECT cb, sum(wt * ln(s + 2.220446049250313e-16)) AS ll FROM (SELECT m.cb, m.r, any_value(wt) AS wt, sum(p) AS s FROM m JOIN ft USING (cb, f) GROUP BY m.cb, m.r) GROUP BY cb),
+em AS (SELECT cb, f, p, 0 AS k, ll, CAST('inf' AS DOUBLE) AS gain FROM ft JOIN ll0 USING (cb)
+ UNION ALL SELECT * FROM (WITH cur AS (SELECT m.cb, m.r, wt, m.f, em.p, k, ll, sum(em.p) OVER (PARTITION BY m.cb, m.r) AS s FROM m JOIN em ON m.cb = em.cb AND m.f = em.f WHERE k < 100 AND gain >= 1e-4),
+  nxt AS (SELECT cb, f, sum(wt * p / s) / sum(sum(wt * p / s)) OVER (PARTITION BY cb) AS p, k + 1 AS k, ll FROM cur GROUP BY cb, f, k, ll),
+  lln AS (SELECT cb, sum(wt * ln(s + 2.220446049250313e-16)) AS ll2 FROM (SELECT m.cb, m.r, any_value(wt) AS wt, sum(nxt.p) AS s FROM m JOIN nxt ON m.cb = nxt.cb AND m.f = nxt.f GROUP BY m.cb, m.r) GROUP BY cb)
+  SELECT nxt.cb, f, p, CAST(k AS INT), ll2, abs(ll2 - ll) FROM nxt JOIN lln USING (cb))),
+settled AS (SELECT * FROM em QUALIFY k = max(k) OVER (PARTITION BY cb))"""
 _NOUMI = [_ALN, _VALID_NO_UMI, _hit(), _RF, "u AS (SELECT cb, read AS u, fs FROM rf)"]
 
 
@@ -75,6 +99,18 @@ _WHITE = f"white AS (SELECT {_b4('i * 3 * 2003', 8)} AS cb FROM range(10) r(i))"
 _COUNTS = """SELECT cb, feature_id, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT cb, fs[1] AS feature_id, 1.0 AS c FROM u WHERE len(fs) = 1
   UNION ALL SELECT q.cb, f, p * n FROM {p} q JOIN (SELECT cb, count(*) AS n FROM u WHERE len(fs) > 1 GROUP BY cb) USING (cb)) GROUP BY ALL"""
 
+_NAMED = """bar AS (SELECT cb, CAST(row_number() OVER (ORDER BY cb) AS INT) AS bi FROM (SELECT DISTINCT cb FROM maps)),
+feat AS (SELECT f, CAST(row_number() OVER (ORDER BY f) AS INT) AS fi FROM (SELECT DISTINCT unnest(fs) AS f FROM maps))"""
+_FINAL = "final AS (" + _COUNTS.format(p="settled") + ")"
+_MATRIX = """SELECT fi AS feature_idx, bi AS barcode_idx, round_even(c, 3) AS "count" FROM final JOIN bar USING (cb) JOIN feat ON f = feature_id WHERE c >= 0.001"""
+_HEADER = "SELECT (SELECT count(*) FROM feat) AS n_features, (SELECT count(*) FROM bar) AS n_barcodes, (SELECT count(*) FROM final WHERE c >= 0.001) AS nnz"
+_STATS = "SELECT DISTINCT cb, k AS cycles, gain < 1e-4 AS converged, round_even(ll, 3) AS loglik, round_even(gain, 6) AS increment FROM settled"
+_U_UMI = "u AS (SELECT cb, fs FROM unit)"
+_LOCUS_TE = [_ALN.replace("te AS (", "te0 AS (", 1), _LOCI, """te AS (SELECT te_id, chrom, "start" AS ts, "end" AS te, name || '~' || CAST(locus_index AS VARCHAR) AS feature, strand FROM numbered)"""]
+_TO_UNIT = [_EC, _EDGE, _COMP, _COVER]
+_TO_COUNT = [*_TO_UNIT, _U_UMI, _SETTLE, _NAMED, _FINAL]
+_NO_UMI_COUNT = [*_NOUMI, _MAP, _SETTLE, _NAMED, _FINAL]
+
 ORACLES: dict[str, str] = {
     "valid_alignments": _q("SELECT aid, cb, umi, qname AS read, chrom, strand FROM valid", _ALN, _VALID),
     "valid_alignments_no_umi": _q("SELECT aid, cb, umi, qname AS read, chrom, strand FROM valid", _ALN, _VALID_NO_UMI),
@@ -112,6 +148,21 @@ ORACLES: dict[str, str] = {
         WHERE size = 2 AND i = c AND NOT EXISTS (SELECT 1 FROM member o WHERE o.cb = m.cb AND o.c = m.c AND NOT o.entered)""",
         *_TO_EC, _EDGE, _COMP, _UNIT, recursive=True,
     ),
+    "umi_units": _q("SELECT cb, root AS unit_id, root, array_to_string(fs, ',') AS features FROM unit", *_TO_MAP, *_TO_UNIT, recursive=True),
+    "ec_dump": _q(
+        """SELECT bi AS Barcode_id, ec.cb AS Barcode, ec.i AS EqClass, ec.umi AS UMI, array_to_string(ec.fs, ',') AS Features, ec.n AS Read_count, coalesce(r.umi, '') AS Dedup_UMI, coalesce(array_to_string(unit.fs, ','), '') AS Dedup_feature
+        FROM ec JOIN bar USING (cb) LEFT JOIN (SELECT cb, unnest(used) AS i, unnest(own) AS root FROM pick) o ON o.cb = ec.cb AND o.i = ec.i AND o.root <> ec.i
+        LEFT JOIN ec r ON r.cb = ec.cb AND r.i = o.root LEFT JOIN unit ON unit.cb = ec.cb AND unit.root = o.root""",
+        *_TO_MAP, *_TO_UNIT, _NAMED, recursive=True,
+    ),
+    "counts_umi": _q(_MATRIX, *_TO_MAP, *_TO_COUNT, recursive=True),
+    "counts_locus": _q(_MATRIX, *_LOCUS_TE, _VALID, _hit(), _RF, _MAP, *_TO_COUNT, recursive=True),
+    "counts_no_umi": _q(_MATRIX, *_NO_UMI_COUNT, recursive=True),
+    "em_stats": _q(_STATS, *_TO_MAP, *_TO_COUNT, recursive=True),
+    "em_stats_no_umi": _q(_STATS, *_NO_UMI_COUNT, recursive=True),
+    "counts_no_umi_dataflow": _q('SELECT cb, feature_id, round_even(c, 3) AS "count" FROM final WHERE c >= 0.001', *_NO_UMI_COUNT, recursive=True),
+    "matrix_header": _q(_HEADER, *_TO_MAP, *_TO_COUNT, recursive=True),
+    "matrix_header_no_umi": _q(_HEADER, *_NO_UMI_COUNT, recursive=True),
     "unique_counts_no_umi": _q('SELECT cb, fs[1] AS feature_id, CAST(count(*) AS DOUBLE) AS "count" FROM u WHERE len(fs) = 1 GROUP BY ALL', *_NOUMI),
     "em_one_step": _em(1, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),
     "em_fixed5": _em(5, "SELECT cb, f AS feature_id, floor(CAST(p AS DOUBLE) * 1e9 + 0.5001) / 1e9 AS p FROM {p}"),

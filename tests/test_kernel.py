@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -50,3 +53,71 @@ def test_three_cycles_without_tolerance():
 def test_even_row():
     total, fit = K.count([tuple(range(16))])
     assert set(total.values()) == {0.0625} and fit.cycles == 1
+
+
+def plain_molecules(features, links):
+    """Every cover built, as the definition says."""
+    near, out, entered = {}, {}, {b for _, b in links}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, units = set(), []
+    for n in range(len(features)):
+        if n in seen:
+            continue
+        group, todo = {n}, [n]
+        while todo:
+            for y in near.get(todo.pop(), ()):
+                if y not in group:
+                    group.add(y)
+                    todo.append(y)
+        seen |= group
+        nodes = sorted(group)
+        starts = [x for x in nodes if x not in entered]
+        covers = []
+        for s in starts or nodes:
+            left, cover = set(nodes), []
+            for root in [s, *(x for x in nodes if x != s)]:
+                if root in left:
+                    path, todo = {root}, [root]
+                    while todo:
+                        for y in out.get(todo.pop(), ()):
+                            if y in left and y not in path and features[y] & features[root]:
+                                path.add(y)
+                                todo.append(y)
+                    left -= path
+                    cover.append((root, path))
+            covers.append(cover)
+        best = min(covers, key=len)
+        whole = None if starts else frozenset().union(*(features[x] for x in nodes))
+        units += [(root, tuple(sorted(path)), tuple(sorted(whole or features[root]))) for root, path in best]
+    return units
+
+
+def some_graph(rng, n, degree, n_features, most, both):
+    features = [frozenset(rng.sample(range(n_features), rng.randint(1, min(most, n_features)))) for _ in range(n)]
+    links = set()
+    for _ in range(int(n * degree)):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if a != b and features[a] & features[b]:
+            links |= {(a, b), (b, a)} if rng.random() < both else {(a, b)}
+    return features, list(links)
+
+
+def test_molecules_equal_all_covers_built():
+    rng = random.Random(4)
+    for _ in range(3000):
+        args = some_graph(rng, rng.randint(1, 25), rng.choice((0.5, 1, 2, 4)), rng.choice((2, 4, 9)), rng.choice((1, 2, 3)), rng.choice((0, 0.3, 1)))
+        assert [(u.root, tuple(sorted(u.members)), u.features) for u in K.molecules(*args)] == plain_molecules(*args)
+
+
+@pytest.mark.parametrize("both", [0, 1])
+def test_a_component_of_4000_classes_takes_no_square_time(both):
+    rng, n = random.Random(9), 4000
+    features = [frozenset(rng.sample(range(6), 2)) for _ in range(n)]
+    links = [(a, b) for a in range(n) for b in (a + 1, a + 7, rng.randrange(n)) if b < n and features[a] & features[b]]
+    links += [(b, a) for a, b in links] if both else []
+    begun = time.process_time()
+    units = K.molecules(features, sorted(set(links)))
+    assert sum(len(u.members) for u in units) == n and time.process_time() - begun < 5  # some 0.5 s; every cover built takes minutes

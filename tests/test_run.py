@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tequant import cli
 from tequant.config import QuantConfig
 from tequant.functions.columns import hamming, locus_name, round3, subfamily
-from tequant.operators import filters, mappings, umi_graph
+from tequant.operators import components, filters, kernel, mappings, overlap, umi_graph
+from tequant.operators import counts as C
 from tequant.plans import testviews as V
 from tequant.plans.catalog import QUERIES
 from tequant.plans.oracles import ORACLES
@@ -18,10 +19,11 @@ from tequant.plans.quantify import hits, quantify, run
 from tequant.sources.annotation import BadAnnotation, check_names, parse_bed, read_bed, read_repeatmasker, read_whitelist
 from tequant.sources.bam import BadBam, read_bam
 from tequant.sources.sam import parse_sam
-from tequant.streaming.mapping import stream_hits
+from tequant.sinks import files
+from tequant.streaming.mapping import merged, stream_hits, stream_mappings
 
 SF = "/root/testdata/sf0.001"
-SOME = ("valid_alignments", "whitelist_semi", "annotation_loci", "overlap_hits", "overlap_hits_reverse", "overlap_hits_min_fraction", "mappings", "feature_index", "umi_edges", "umi_components", "umi_units_small", "em_fixed5", "counts_no_umi_k5", "counts_no_umi_kernel_k5", "ec_dump_no_umi", "matrix_header_no_umi_k5", "barcode_index", "umi_candidate_pairs")
+SOME = ("umi_units", "counts_umi", "ec_dump", "em_stats", "counts_no_umi", "matrix_header", "counts_locus", "valid_alignments", "whitelist_semi", "annotation_loci", "overlap_hits", "overlap_hits_reverse", "overlap_hits_min_fraction", "mappings", "feature_index", "umi_edges", "umi_components", "umi_units_small", "em_fixed5", "counts_no_umi_k5", "counts_no_umi_kernel_k5", "ec_dump_no_umi", "matrix_header_no_umi_k5", "barcode_index", "umi_candidate_pairs")
 
 
 @pytest.fixture(scope="module")
@@ -111,6 +113,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == hits(rows, V.annotation(spark, SF), V.config()).count()
 
 
+def test_streamed_mappings_equal_a_batch_and_late_rows_go(spark, tmp_path):
+    rows, te = V.alignments(spark, SF), V.annotation(spark, SF)
+    order = F.regexp_extract("qname", "^r([0-9]+)_", 1).cast("int")
+    rows = rows.withColumn("time", F.timestamp_seconds(order * 20))
+    half = rows.agg(F.percentile_approx("time", 0.5).alias("t")).first()["t"]
+    rows.where(F.col("time") < half).coalesce(1).write.parquet(f"{tmp_path}/in")  # one file, one micro-batch
+
+    def go(name):
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        found = stream_mappings(source, te, V.config()).writeStream.format("parquet").outputMode("append")
+        q = found.option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        return q
+
+    go("out")
+    rows.where(F.col("time") >= half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    last = rows.agg(F.max("time").alias("t")).first()["t"]
+    late = rows.where(F.col("time") < half).limit(50)  # their windows have passed
+    hit = rows.join(hits(rows, te, V.config()).select("aid").limit(1), "aid", "left_semi").withColumn("tags", F.create_map(F.lit("CB"), F.lit("END"), F.lit("UR"), F.lit("ACGT")))
+    dropped = 0
+    for day in (3, 6, 9):  # moves the watermark past all others
+        end = hit.withColumn("time", F.lit(last) + F.make_dt_interval(F.lit(day)))
+        late.unionByName(end).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = go("out")
+        dropped += sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    got = merged(spark.read.parquet(f"{tmp_path}/out")).where("cb <> 'END'")
+    want = mappings.mappings(hits(rows, te, V.config()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and dropped > 0
+    assert all(s["numRowsTotal"] <= 2 for s in q.lastProgress["stateOperators"])  # only the last window is held
+
 def blocks(data, sizes):
     """BGZF blocks of the given sizes, and the empty one at the end."""
     out, at = b"", 0
@@ -207,3 +239,78 @@ def test_pairs_of_umis_of_several_lengths(spark):
     got = sorted((r.cb, r.i, r.j) for r in umi_graph.candidate_pairs(ecs).collect())
     near = [(i, j) for i in range(len(umis)) for j in range(i + 1, len(umis)) if sum(a != b for a, b in zip(umis[i], umis[j], strict=False)) <= 1]
     assert got == sorted((cb, i, j) for cb in ("x", "y") for i, j in near)
+
+
+def test_indexed_and_binned_overlaps_are_the_same(spark):
+    rng = random.Random(6)
+    te = [(i, rng.choice(("c1", "c2", "c3", None)), s := rng.randint(0, 900), s + rng.choice((0, 1, 5, 30, 400, 5000)), f"T{i % 7}", rng.choice("+-.")) for i in range(300)]
+    te += [(300 + i, "c1", 100 + i, 900 - i, "nest", "+") for i in range(200)]  # one within the other
+    te = spark.createDataFrame(te, "te_id long, chrom string, start long, end long, feature string, strand string")
+
+    def blocks():
+        at = rng.randint(0, 1000)
+        return [(at, at + rng.choice((0, 1, 20))), (at + 40, at + 90)][: rng.randint(0, 2)]
+
+    aln = [(i, "cb", "u", f"r{i}", rng.choice(("c1", "c2", "c9", None)), rng.choice("+-"), rng.choice((blocks(), blocks(), None)), "x") for i in range(400)]
+    aln = spark.createDataFrame(aln, "aid long, cb string, umi string, read string, chrom string, strand string, blocks array<struct<start:long,end:long>>, feature_no string")
+    for more in ({}, {"strandedness": "forward"}, {"strandedness": "reverse"}, {"min_bp_overlap": 15}, {"min_fraction_overlap": 0.4}):
+        cfg = QuantConfig(bin_width=64, **more)
+        a, b = (sorted(map(tuple, overlap.overlaps(aln, te, cfg, index_bytes=n, carry=("feature_no",)).collect())) for n in (1 << 20, 0))
+        assert a == b and a
+    assert overlap.overlaps(aln, te.limit(0), QuantConfig()).collect() == overlap.overlaps(aln.limit(0), te, QuantConfig()).collect() == []
+    plan = overlap.overlaps(aln, te, QuantConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_components_by_rounds_and_at_once(spark):
+    rng = random.Random(3)
+    links = [(cb, a, b) for cb in ("x", "y") for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(260)) if a != b] + [("z", i, i + 1) for i in range(40)]
+    df = spark.createDataFrame(links, "cb string, src int, dst int")
+    want = []
+    for cb in ("x", "y", "z"):
+        own = [(a, b) for c, a, b in links if c == cb]
+        top = kernel.components(401, own)
+        want += [(cb, n, top[n]) for n in sorted({n for e in own for n in e})]
+    for few in (0, 150, components.FEW):
+        assert sorted(map(tuple, components.linked_components(df, few).collect())) == want
+    assert components.linked_components(df.limit(0)).collect() == []
+
+
+def test_dataflow_em_equals_the_kernel(spark):
+    sets = [("a", [("1", "2")] * 3 + [("1", "3")] + [("9",)] * 2), ("b", [("1", "2", "3"), ("2", "3"), ("2", "4")]), ("c", [("5",)]), ("d", [("1", "2")])]
+    units = spark.createDataFrame([(cb, i, list(s)) for cb, own in sets for i, s in enumerate(own)], "cb string, unit_id int, features array<string>")
+    for cfg in (QuantConfig(max_iters=6, tolerance=0.05), QuantConfig(max_iters=2, tolerance=0.0)):
+        for f in (C.raw_counts, C.em_stats) if cfg.max_iters == 6 else (C.em_stats,):
+            a, b = ({tuple(r[k] for k in range(2)) if f is C.raw_counts else r[0]: r for r in f(units, cfg, cell=cell).collect()} for cell in (0, C.CELL))
+            assert a.keys() == b.keys()
+            for k in a:
+                assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[k], b[k], strict=True) if not isinstance(x, str))
+            if f is C.em_stats and cfg.max_iters == 6:
+                assert len({(r.cycles, r.converged) for r in a.values()}) > 1 and (a["d"].cycles, a["d"].converged) == (1, True)
+    assert C.raw_counts(units.limit(0), QuantConfig(), cell=0).collect() == []
+
+
+def test_class_numbers_of_a_cell_in_several_ranges(spark):
+    rng = random.Random(1)
+    maps = [("hot" if k % 10 else f"c{k % 3}", "".join(rng.choice("ACGT") for _ in range(5)), sorted(rng.sample(["A", "A#x", "B"], 2)), k) for k in range(4000)]
+    df = spark.createDataFrame(maps, "cb string, umi string, features array<string>, read_count int").dropDuplicates(["cb", "umi", "features"]).repartition(7)
+    got = sorted((r.cb, r.ec_index, r.umi, ",".join(r.features)) for r in mappings.equivalence_classes(df).collect())
+    want = []
+    for cb in ("c0", "c1", "c2", "hot"):
+        want += [(cb, i, *x) for i, x in enumerate(sorted({(m[1], ",".join(m[2])) for m in maps if m[0] == cb}))]
+    assert got == want
+
+
+def test_files_do_not_depend_on_partitions_and_parts_make_the_file(spark, tmp_path):
+    df = spark.range(1000).select(F.format_string("%04d", "id").alias("k"), (F.col("id") / 8).alias("x"))
+    for n, name in ((1, "a"), (5, "b")):
+        rows = df.repartition(n).select(files.line("k", files.number(F.col("x"))), "k")
+        files.write_lines(rows, ["k"], f"{tmp_path}/{name}", ["head"], lines=300)
+    files.write_lines(df.select(files.line("k", files.number(F.col("x"))), "k"), ["k"], f"{tmp_path}/c", ["head"], lines=300, merge=False)
+    whole = (tmp_path / "a").read_bytes()
+    lines = gzip.decompress(whole).decode().splitlines()
+    assert lines[0] == "head" and lines[1:4] == ["0000\t0.0", "0001\t0.125", "0002\t0.25"] and len(lines) == 1001 and (tmp_path / "b").read_bytes() == whole
+    parts = [tmp_path / "c.parts/head.gz", *(next((tmp_path / f"c.parts/part={k}").glob("part-*.gz")) for k in range(4))]
+    assert b"".join(p.read_bytes() for p in parts) == whole
+    files.write_rows(df.limit(0), ["k", "x"], ["k"], f"{tmp_path}/e", header=True)
+    assert gzip.decompress((tmp_path / "e").read_bytes()) == b"k\tx\n"
