@@ -1,8 +1,9 @@
 """License scan: short notices found with bounded errors.
 
 A notice that occurs with at most k edits holds, when split into k + 1 pieces, at least one piece unchanged (pigeonhole). The pieces
-are searched exactly; around each hit the regex library matches the whole notice with bounded errors and reports the span. Fixed
-phrases (the base) are besides found exactly, word by word.
+are searched exactly; around each hit the regex library matches the whole notice with bounded errors and reports the span. k is a
+tenth of the notice's bytes, 1 at least. Fixed phrases (the base) are besides found exactly, word by word; they are notices as well, so
+with edits they still give their label, but no place of the base.
 
 Texts are searched as the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the A-Z lower-cased text, joined by one space, in UTF-8;
 an edit is one byte.
@@ -29,9 +30,14 @@ BASE = {"mit": "under the mit license", "apache-2": "apache license version 2",
 NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
+    ("mit", "under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "apache license version 2"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "cc by nc"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc-by-nd", "cc by nd"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "creative commons attribution 4 0 international"),
     ("gpl-2", "gnu general public license version 2"),
@@ -44,6 +50,7 @@ NOTICES = (
     ("public-domain", "released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
     ("proprietary", "proprietary and confidential"),
+    *((label, f"spdx license identifier {name}") for label, name in (("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"))),
 )
 
 
@@ -107,15 +114,21 @@ class Scanner:
         return sorted((bisect_left(spaces, pos), label) for pos, label in found)
 
     def fuzzy(self, words: bytes) -> list[Hit]:
-        """Hits by place; of hits that overlap, the closest one stays (of equal ones, that of the longer notice)."""
+        """Hits by place. A hit within another of its label goes; of others that overlap, the closest one stays (of equal ones, that of the
+        longer notice)."""
         found = [(a, b, e, n) for n in self.notices for a, b, e in n.hits(words)]
         spaces = _spaces(words) if found else []
         out = []
         for a, b, errors, n in found:
             first = bisect_left(spaces, a) - 1
             out.append(Hit(first, bisect_left(spaces, b), n.label, errors, 1 - errors / len(n.text)))
+        outer, reach = [], {}
+        for h in sorted(set(out), key=lambda h: (h.start, -h.end, h.errors)):
+            if reach.get(h.label, -1) < h.end:
+                reach[h.label] = h.end
+                outer.append(h)
         kept: list[Hit] = []  # by place, none overlapping
-        for h in sorted(out, key=lambda h: (-h.score, h.start - h.end, h.start, h.label)):
+        for h in sorted(outer, key=lambda h: (-h.score, h.start - h.end, h.start, h.label)):
             k = bisect_left(kept, h.end, key=lambda x: x.start)
             if not k or kept[k - 1].end <= h.start:
                 kept.insert(k, h)
