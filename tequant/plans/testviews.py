@@ -12,7 +12,9 @@ VIEW = {"bin_width": 128}
 
 
 def base4(x: Column, n: int) -> Column:
-    return F.concat(*(F.substring(F.lit("ACGT"), F.pmod(F.floor(x / 4**i), F.lit(4)).cast("int") + 1, F.lit(1)) for i in range(n)))
+    """The last n digits to base 4, the lowest first, as letters."""
+    digits = F.lpad(F.conv(x.cast("string"), 10, 4), 32, "0")
+    return F.translate(F.substring(F.reverse(digits), 1, n), "0123", "ACGT")
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
