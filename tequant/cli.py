@@ -7,14 +7,14 @@ import logging
 import os
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tequant import __version__
 from tequant.config import STRANDS, QuantConfig
 from tequant.plans.quantify import run
 from tequant.sinks.files import write_annotation
 from tequant.sources.annotation import ASSEMBLIES, read_bed, read_repeatmasker, read_whitelist
-from tequant.sources.bam import read_bam
+from tequant.sources.bam import indexed_counts, read_bam
 from tequant.sources.sam import read_sam
 
 
@@ -47,6 +47,17 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def annotated_bam(spark: SparkSession, path: str, annotation: DataFrame, tags: list[str]) -> DataFrame:
+    """The alignments of a BAM file. With an index, those of annotated references alone, and the others are named in the log."""
+    counts = indexed_counts(path)
+    if counts is None:
+        return read_bam(spark, path, tags=tags)
+    chroms = {r[0] for r in annotation.select("chrom").distinct().collect()}  # one row per reference
+    for name in (n for n, mapped in counts.items() if mapped and n not in chroms):
+        logging.getLogger("tequant").warning("reference %s is not in the annotation", name)
+    return read_bam(spark, path, tags=tags, references=[n for n in counts if n in chroms])
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(a.verbose, 2)], format="[%(asctime)s] %(message)s")
@@ -57,8 +68,11 @@ def main(argv: list[str] | None = None) -> None:
     if not SparkConf().contains("spark.master") and "MASTER" not in os.environ:  # else spark-submit or the session has one
         builder = builder.master(f"local[{a.threads}]")
     spark = SparkSession.getActiveSession() or builder.getOrCreate()
-    alignments = spark.read.parquet(a.bam) if a.bam.endswith(".parquet") else read_bam(spark, a.bam) if a.bam.endswith(".bam") else read_sam(spark, a.bam)
     annotation = read_bed(spark, a.regions) if a.regions else read_repeatmasker(spark, a.repeats, header_lines=ASSEMBLIES[a.genome], locus=a.locus)
+    if a.bam.endswith(".bam"):
+        alignments = annotated_bam(spark, a.bam, annotation, [cfg.cb_tag, cfg.umi_tag])
+    else:
+        alignments = spark.read.parquet(a.bam) if a.bam.endswith(".parquet") else read_sam(spark, a.bam)
     if not a.regions:
         write_annotation(annotation, f"{a.outdir}/rmsk.bed.gz", merge=not a.parts)
     run(alignments, annotation, cfg, a.outdir, read_whitelist(spark, a.whitelist) if a.whitelist else None, merge=not a.parts)

@@ -17,7 +17,8 @@ from tequant.plans.catalog import QUERIES
 from tequant.plans.oracles import ORACLES
 from tequant.plans.quantify import hits, quantify, run
 from tequant.sources.annotation import BadAnnotation, check_names, parse_bed, read_bed, read_repeatmasker, read_whitelist
-from tequant.sources.bam import BadBam, read_bam
+from tequant.sources import bam as bam_source
+from tequant.sources.bam import BadBam, BamSource, indexed_counts, read_bam
 from tequant.sources.sam import parse_sam
 from tequant.sinks import files
 from tequant.streaming.mapping import merged, stream_hits, stream_mappings
@@ -314,3 +315,68 @@ def test_files_do_not_depend_on_partitions_and_parts_make_the_file(spark, tmp_pa
     assert b"".join(p.read_bytes() for p in parts) == whole
     files.write_rows(df.limit(0), ["k", "x"], ["k"], f"{tmp_path}/e", header=True)
     assert gzip.decompress((tmp_path / "e").read_bytes()) == b"k\tx\n"
+
+
+def index(raw, n_refs, with_counts=True):
+    """The index of a BAM file in order of its references."""
+    places, data, at = [], b"", 0
+    while at < len(raw):
+        n = struct.unpack_from("<H", raw, at + 16)[0] + 1
+        places.append((len(data), at))
+        data += zlib.decompress(raw[at + 18 : at + n - 8], -15)
+        at += n
+    virtual = lambda x: next(f << 16 | x - d for d, f in reversed(places) if d <= x)
+    at = 8 + struct.unpack_from("<i", data, 4)[0] + 4
+    for _ in range(n_refs):
+        at += 8 + struct.unpack_from("<i", data, at)[0]
+    found = [([], {}, 0) for _ in range(n_refs)]
+    while at < len(data):
+        size, ref, pos = struct.unpack_from("<iii", data, at)
+        end = at + 4 + size
+        if ref >= 0:
+            spans, windows, n = found[ref]
+            spans.append((virtual(at), virtual(end) if end < len(data) else len(raw) << 16))
+            windows.setdefault(pos >> 14, virtual(at))
+            found[ref] = spans, windows, n + 1
+        at = end
+    out = b"BAI\1" + struct.pack("<i", n_refs)
+    for spans, windows, n in found:
+        bins = [struct.pack("<Ii2Q", 4681, 1, spans[0][0], spans[-1][1])] if spans else []
+        bins += [struct.pack("<Ii4Q", 37450, 2, spans[0][0], spans[-1][1], n, 0)] if spans and with_counts else []
+        top = max(windows, default=-1) + 1
+        out += struct.pack("<i", len(bins)) + b"".join(bins) + struct.pack("<i", top) + b"".join(struct.pack("<Q", windows.get(k, 0)) for k in range(top))
+    return out
+
+
+def test_bam_by_index(spark, tmp_path):
+    refs, rng = ["chr1", "chr2", "chr3"], random.Random(2)
+    rows = sorted((r if k % 2 else (*r[:3], r[3] * 40, *r[4:]) for k, r in enumerate(some_reads(900)) if r[2] >= 0), key=lambda r: (r[2], r[3]))
+    raw = bam(rows, refs, iter(lambda: rng.randint(300, 4000), None))
+    path = tmp_path / "x.bam"
+    path.write_bytes(raw)
+    key = lambda r: (r.qname, r.chrom, r.strand, [tuple(b) for b in r.blocks], sorted(r.tags.items()))
+    want = {c: sorted(key(r) for r in read_bam(spark, str(path), tags=["CB", "UR"]).where(F.col("chrom") == c).collect()) for c in refs}
+    assert want["chr1"] and want["chr2"] and not want["chr3"] and set(dict(want["chr1"][0][4])) == {"CB", "UR"}
+    assert indexed_counts(str(path)) is None
+    (tmp_path / "x.bam.bai").write_bytes(index(raw, 3))
+    assert indexed_counts(str(path)) == {c: len(w) for c, w in want.items()}
+    for stretch in (1500, 1 << 26):
+        got = read_bam(spark, str(path), references=["chr2", "chr9"], tags=["CB", "UR"], stretch=stretch)
+        assert sorted(map(key, got.collect())) == want["chr2"] and got.select("aid").distinct().count() == len(want["chr2"])
+        names, _ = bam_source.read_header(str(path))
+        found, indexed = bam_source.splits(str(path), stretch, names, ["chr2"])
+        first = min(a for a, _ in found) >> 16
+        assert indexed and first > len(raw) // 4 and (stretch > 2000 or len(found) > 3)  # what lies before the reference is not read
+        read = [r["qname"] for a, b in found for r in bam_source.records_between(str(path), a, b, names)]
+        assert sorted(read) == sorted(w[0] for w in want["chr2"])
+    spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    load = lambda **more: spark.read.format("tequant_bam").options(path=str(path), tags="CB", stretch=1500, **more).load()
+    some = load(push="true").where(F.col("chrom").isin("chr2", "x") & (F.col("flag") == 0))
+    assert sorted(r.qname for r in some.collect()) == sorted(w[0] for w in want["chr2"] if w[2] == "+") and {t.key for r in some.collect() for t in r.tags} == {"CB"}
+    table = load()
+    assert table.where("chrom = 'chr2'").count() == load(references="chr2").count() == len(want["chr2"]) and table.count() == len(rows)
+    reader = bam_source.BamReader({"path": str(path), "push": "true"})
+    assert list(reader.pushFilters([bam_source.EqualTo(("chrom",), "chr2"), bam_source.EqualTo(("flag",), 0)])) == [bam_source.EqualTo(("flag",), 0)] and len(reader.partitions()) == 1
+    (tmp_path / "x.bam.bai").write_bytes(index(raw, 3, with_counts=False))
+    assert indexed_counts(str(path)) is None and read_bam(spark, str(path), references=["chr1"]).count() == len(want["chr1"])
