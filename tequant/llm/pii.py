@@ -36,7 +36,7 @@ LOOSE = {
 LOT = 128
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("shape", "issuer", "reserved", "context", "joined")
-PATTERNS = len(LOOSE) * 3 ** len(LABELERS)
+PATTERNS = len(LOOSE) * 3 ** len(LABELERS) * 4  # four sets of traits
 # First digits of card numbers by issuer; country calling codes; values set aside for examples.
 ISSUERS = "4 51 52 53 54 55 222 223 224 225 226 227 228 229 23 24 25 26 270 271 2720 34 37 300 301 302 303 304 305 36 38 39 6011 644 645 646 647 648 649 65 3528 3529 353 354 355 356 357 358 62 50 56 57 58 63 67".split()
 CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 21[1-8] 22[0-9] 23[0-9] 24[0-9] 25[0-8] 26[0-9] 29[0-9] 35[0-9] 37[0-9] 38[0-9] 42[0-3] 50[0-9] 59[0-9] 67[0-9] 68[0-9] 69[0-2] 85[0-6] 88[0-6] 96[0-8] 97[0-7] 99[2-8]".split()
@@ -46,26 +46,47 @@ NEAR = "mail|phone|call|tel|fax|mobile|contact|card|visa|account|pay|key|login|u
 FAR = "isbn|issn|doi|version|figure|table|section|chapter|article|page"
 
 
+_SPANS = "CAST(array() AS array<struct<start:int,end:int,value:string,bstart:int,bend:int,before:string,after:string>>)"
+
+
+def _lots(items: Column) -> Column:
+    """The items in lots of LOT, so that arrays which grow by an item at a time stay short."""
+    return let(items, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / LOT).cast("int")), lambda i: F.slice(p, i * LOT + 1, LOT)))
+
+
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("before"), h.alias("value"))), lambda x: x.value.isNotNull())
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
+    """array<struct<start, end, value, bstart, bend, before, after>> of all matches: in code points, in bytes, and what stands around them (up
+    to 48 and 24 code points, reaching over one other match at most)."""
+
+    def met(ph):
+        piece, hit = (lambda i: F.coalesce(F.get(ph.pieces, i), F.lit(""))), (lambda i: F.coalesce(F.get(ph.hits, i), F.lit("")))
+
+        def one(h, i):
+            before = F.right(F.concat(F.right(piece(i - 1), F.lit(48)), hit(i - 1), F.right(piece(i), F.lit(48))), F.lit(48))
+            after = F.left(F.concat(F.left(piece(i + 1), F.lit(24)), hit(i + 1), F.left(piece(i + 2), F.lit(24))), F.lit(24))
+            # a piece that is long enough hides what lies beyond it
+            before = F.when(F.length(piece(i)) >= 48, F.right(piece(i), F.lit(48))).otherwise(before)
+            after = F.when(F.length(piece(i + 1)) >= 24, F.left(piece(i + 1), F.lit(24))).otherwise(after)
+            return F.struct(F.length(piece(i)).alias("gap"), F.octet_length(piece(i)).alias("bgap"), F.length(h).alias("n"), F.octet_length(h).alias("bn"), h.alias("value"), before.alias("before"), after.alias("after"))
+
+        return F.transform(ph.hits, one)
 
     def step(a, x):
-        start = a.at + x.before
-        end = start + F.length(x.value)
-        return F.struct(end.alias("at"), F.array_append(a.out, F.struct(start.alias("start"), end.alias("end"), x.value.alias("value"))).alias("out"))
+        start, bstart = a.at + x.gap, a.bat + x.bgap
+        own = F.struct(start.alias("start"), (start + x.n).alias("end"), x.value.alias("value"), bstart.alias("bstart"), (bstart + x.bn).alias("bend"), x.before.alias("before"), x.after.alias("after"))
+        return F.struct((start + x.n).alias("at"), (bstart + x.bn).alias("bat"), F.array_append(a.out, own).alias("out"))
 
     def spans(lots):
-        """The matches go in lots, so that the array which grows by one match at a time stays short."""
-        sizes = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda n, x: n + x.before + F.length(x.value)))
-        before = let(sizes, lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x)))
-        each = F.zip_with(lots, before, lambda lot, at: F.aggregate(lot, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a.out))
+        def ahead(size):
+            sizes = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda n, x: n + size(x)))
+            return let(sizes, lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x)))
+
+        at = F.zip_with(ahead(lambda x: x.gap + x.n), ahead(lambda x: x.bgap + x.bn), lambda c, b: F.struct(c.alias("c"), b.alias("b")))
+        each = F.zip_with(lots, at, lambda lot, k: F.aggregate(lot, F.struct(k.c.alias("at"), k.b.alias("bat"), F.expr(_SPANS).alias("out")), step, lambda a: a.out))
         return F.flatten(each)
 
-    lots = let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / LOT).cast("int")), lambda i: F.slice(p, i * LOT + 1, LOT)))
-    return F.when(text.rlike(pattern), let(lots, spans)).otherwise(none)
+    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(pattern), let(_lots(let(parts, met)), spans)).otherwise(F.expr(_SPANS))
 
 
 def digits(value: Column) -> Column:
@@ -86,25 +107,30 @@ def luhn(value: Column) -> Column:
 
 
 def _kind(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s.value.alias("value")))
+    return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), *(s[c].alias(c) for c in ("value", "bstart", "bend", "before", "after"))))
+
+
+def _plain(spans: Column) -> Column:
+    """Without what stands around."""
+    return F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "value", "bstart", "bend"))))
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, end, kind, value>> of the strict spans, in order of start, then kind."""
+    """array<struct<start, end, kind, value, bstart, bend>> of the strict spans, in order of start, then kind."""
     count = lambda s: F.length(digits(s.value))
     parts = [
-        _kind(F.when(F.instr(text, "@") > 0, found(text, EMAIL)).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")), "email"),
+        _kind(F.when(F.instr(text, "@") > 0, found(text, EMAIL)).otherwise(F.expr(_SPANS)), "email"),
         _kind(F.filter(found(text, IP), lambda s: s.value.rlike(OCTETS)), "ip"),
         _kind(F.filter(found(text, CARD), lambda s: (count(s) >= 12) & (count(s) <= 19) & luhn(s.value)), "card"),
         _kind(F.filter(found(text, PHONE), lambda s: (count(s) >= 9) & (count(s) <= 15)), "phone"),
     ]
-    return F.array_sort(F.concat(*parts), lambda x, y: F.when(x.start != y.start, x.start - y.start).otherwise(x.kind - y.kind))
+    return F.array_sort(_plain(F.concat(*parts)), lambda x, y: F.when(x.start != y.start, x.start - y.start).otherwise(x.kind - y.kind))
 
 
-def votes(text: Column, s: Column) -> Column:
+def votes(s: Column) -> Column:
     """The labelers' votes on one loose span, as an array<int> in the order of LABELERS."""
-    around = F.lower(F.concat(F.substring(text, F.greatest(F.lit(1), s.start - 47), F.least(s.start, F.lit(48))), F.lit(" "), F.substring(text, s.end + 1, F.lit(24))))
-    before, after = F.when(s.start > 0, F.substring(text, s.start, F.lit(1))).otherwise(F.lit(" ")), F.substring(text, s.end + 1, F.lit(1))
+    around = F.lower(F.concat(s.before, F.lit(" "), s.after))
+    before, after = F.when(s.start > 0, F.right(s.before, F.lit(1))).otherwise(F.lit(" ")), F.left(s.after, F.lit(1))
     d, kind = digits(s.value), s.kind
     card, phone = kind == KINDS.index("card"), kind == KINDS.index("phone")
     yes_no = lambda c: F.when(c, 1).otherwise(0)
@@ -122,15 +148,37 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carr
     rows = docs.select(docs[key].alias(key), *(c for c in carry if c != key), F.coalesce(docs[text], F.lit("")).alias("_t"))
     rows = rows.select("*", base_spans(F.col("_t")).alias("base"))
     loose = F.concat(*(_kind(found(F.col("_t"), p), k) for k, p in LOOSE.items()))
-    rows = rows.select("*", F.filter(loose, lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))).alias("_l"))
-    voted = F.transform("_l", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.value.alias("value"), votes(F.col("_t"), s).alias("votes")))
+    rows = rows.select("*", loose.alias("_l"))
+    rows = rows.withColumn("_l", F.when((F.size("_l") > 0) & (F.size("base") > 0), let(_masks(F.col("base")), lambda m: F.filter("_l", lambda s: ~_covered(m, s)))).otherwise(F.col("_l")))
+    voted = F.transform("_l", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "value", "bstart", "bend")), votes(s).alias("votes"), traits(s).alias("traits")))
     return rows.select(key, *(c for c in carry if c != key), "base", voted.alias("loose"))
 
 
-def vote_counts(rows: DataFrame) -> list[tuple[int, tuple[int, ...], int]]:
-    """(kind, votes, number of spans), at most PATTERNS entries."""
-    counts = rows.select(F.explode("loose").alias("s")).groupBy("s.kind", "s.votes").count()
-    return sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in counts.collect())
+def _masks(base: Column) -> Column:
+    """For each kind a byte per code point up to its last span, 1 in spans; the spans of a kind never overlap."""
+
+    def mask(k):
+        own = F.filter(base, lambda s: s.kind == k)
+        parts = lambda p: F.transform(p, lambda s, i: F.concat(F.repeat(F.lit("0"), s.start - F.coalesce(F.get(p, i - 1).end, F.lit(0))), F.repeat(F.lit("1"), s.end - s.start)))
+        return F.array_join(let(own, parts), "").cast("binary")
+
+    return F.array(*(mask(k) for k in range(4)))
+
+
+def _covered(masks: Column, s: Column) -> Column:
+    return F.exists(masks, lambda m: F.contains(F.substring(m, s.start + 1, s.end - s.start).cast("string"), F.lit("1")))
+
+
+def traits(s: Column) -> Column:
+    """What the classifier looks at besides the votes: whether the value is parted, and of five different letters or digits at least."""
+    letters = F.array_distinct(F.split(F.regexp_replace(s.value, "[^0-9A-Za-z]", ""), ""))
+    return F.array(s.value.rlike("[ ().-]").cast("int"), (F.size(letters) >= 5).cast("int"))
+
+
+def vote_counts(rows: DataFrame) -> list[tuple[int, tuple[int, ...], tuple[int, ...], int]]:
+    """(kind, votes, traits, number of spans), at most PATTERNS entries."""
+    counts = rows.select(F.explode("loose").alias("s")).groupBy("s.kind", "s.votes", "s.traits").count()
+    return sorted((r["kind"], tuple(r["votes"]), tuple(r["traits"]), r["count"]) for r in counts.collect())
 
 
 def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]], list[float]]:
@@ -156,20 +204,27 @@ def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int =
     return prior, tables, post
 
 
-def posteriors(counts: list[tuple[int, tuple[int, ...], int]]) -> list[float]:
-    """The posterior of each pattern. A labeler looks at other things in each kind, so each kind has its own reliabilities."""
-    own = {kind: iter(reliabilities([c for c in counts if c[0] == kind])[2]) for kind in {c[0] for c in counts}}
-    return [next(own[kind]) for kind, *_ in counts]
+def posteriors(counts: list[tuple]) -> list[float]:
+    """The posterior of each pattern (kind, votes, .., number), of its votes alone. A labeler looks at other things in each kind, so each kind has its own reliabilities."""
+    found: dict[tuple, float] = {}
+    for kind in {c[0] for c in counts}:
+        sums: dict[tuple, int] = {}
+        for k, votes, *_, n in counts:
+            if k == kind:
+                sums[votes] = sums.get(votes, 0) + n
+        own = [(kind, v, n) for v, n in sorted(sums.items())]
+        found |= {(kind, v): p for (_, v, _), p in zip(own, reliabilities(own)[2], strict=True)}
+    return [found[kind, votes] for kind, votes, *_ in counts]
 
 
-def _features(kind: int, votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(kind == KINDS.index(k)) for k in LOOSE), *(float(v == 1) for v in votes), *(float(v == 0) for v in votes)]
+def _features(kind: int, votes: tuple[int, ...], own: tuple[int, ...]) -> list[float]:
+    return [1.0, *(float(kind == KINDS.index(k)) for k in LOOSE), *(float(v == 1) for v in votes), *(float(v == 0) for v in votes), *map(float, own)]
 
 
-def classifier(counts: list[tuple[int, tuple[int, ...], int]], post: list[float], steps: int = 400, penalty: float = 1e-3) -> list[float]:
-    """Weights of a logistic model of the posteriors; the patterns weigh as the logarithm of their counts."""
-    rows = [(_features(kind, votes), p, math.log1p(n)) for (kind, votes, n), p in zip(counts, post, strict=True)]
-    w = [0.0] * len(_features(0, (0,) * len(LABELERS)))
+def classifier(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], post: list[float], steps: int = 400, penalty: float = 1e-3) -> list[float]:
+    """Weights of a logistic model of the posteriors from votes and traits; the patterns weigh as the logarithm of their counts."""
+    rows = [(_features(kind, votes, own), p, math.log1p(n)) for (kind, votes, own, n), p in zip(counts, post, strict=True)]
+    w = [0.0] * len(_features(0, (0,) * len(LABELERS), (0, 0)))
     total = sum(r[2] for r in rows) or 1.0
     for _ in range(steps):
         grad = [penalty * x for x in w]
@@ -188,6 +243,7 @@ def probability(s: Column, w: list[float]) -> Column:
     for i in range(len(LABELERS)):
         yes, no = w[1 + len(names) + i], w[1 + len(names) + len(LABELERS) + i]
         terms.append(F.when(s.votes[i] == 1, F.lit(yes)).when(s.votes[i] == 0, F.lit(no)).otherwise(F.lit(0.0)))
+    terms += [s.traits[i] * F.lit(w[1 + len(names) + 2 * len(LABELERS) + i]) for i in range(2)]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
@@ -196,8 +252,7 @@ def detect(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: t
     rows = cut(candidates(docs, key=key, text=text, carry=carry))
     counts = vote_counts(rows)
     w = classifier(counts, posteriors(counts))
-    plain = lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.value.alias("value"))
-    more = F.transform(F.filter("loose", lambda s: probability(s, w) >= threshold), plain)
+    more = _plain(F.filter("loose", lambda s: probability(s, w) >= threshold))
     order = lambda x, y: F.when(x.start != y.start, x.start - y.start).otherwise(x.kind - y.kind)
     return rows.select(key, *(c for c in carry if c != key), "base", F.array_sort(F.concat("base", more), order).alias("spans"))
 
@@ -209,12 +264,20 @@ def spelled(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, and each run of spans that overlap, replaced by the first one's kind in angle brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.expr("CAST(array() AS array<struct<since:int,upto:int,kind:int>>)")
 
     def step(a, s):
-        mark = F.concat(F.lit("<"), F.upper(F.get(F.array(*map(F.lit, KINDS)), s.kind)), F.lit(">"))
-        fresh = F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), mark)
-        return F.struct(F.greatest(a.at, s.end).alias("at"), F.when(s.start >= a.at, fresh).otherwise(a.out).alias("out"))
+        head = F.when(s.bstart >= a.top, F.array_append(a.out, F.struct(a.top.alias("since"), s.bstart.alias("upto"), s.kind.alias("kind")))).otherwise(a.out)
+        return F.struct(F.greatest(a.top, s.bend).alias("top"), head.alias("out"))
+
+    def heads(lots):
+        tops = F.transform(lots, lambda lot: F.array_max(F.transform(lot, lambda s: s.bend)))
+        before = let(tops, lambda t: F.transform(t, lambda _, i: F.coalesce(F.array_max(F.slice(t, 1, i)), F.lit(0))))
+        return F.flatten(F.zip_with(lots, before, lambda lot, top: F.aggregate(lot, F.struct(top.alias("top"), none.alias("out")), step, lambda a: a.out)))
+
+    def whole(raw):
+        part = lambda h: F.concat(F.substring(raw, h.since + 1, h.upto - h.since).cast("string"), F.lit("<"), F.upper(F.get(F.array(*map(F.lit, KINDS)), h.kind)), F.lit(">"))
+        last = F.array_max(F.transform(spans, lambda s: s.bend))
+        return F.concat(F.array_join(F.transform(let(_lots(spans), heads), part), ""), F.substring(raw, last + 1, F.octet_length(raw)).cast("string"))
 
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(text.cast("binary"), whole)).otherwise(text)
