@@ -380,3 +380,16 @@ def test_bam_by_index(spark, tmp_path):
     assert list(reader.pushFilters([bam_source.EqualTo(("chrom",), "chr2"), bam_source.EqualTo(("flag",), 0)])) == [bam_source.EqualTo(("flag",), 0)] and len(reader.partitions()) == 1
     (tmp_path / "x.bam.bai").write_bytes(index(raw, 3, with_counts=False))
     assert indexed_counts(str(path)) is None and read_bam(spark, str(path), references=["chr1"]).count() == len(want["chr1"])
+
+
+def test_log_levels_and_fatal_units(spark, tmp_path, caplog):
+    cfg = V.config(no_umi=True)
+    rows, te = V.alignments(spark, SF).where("chrom IN ('chr1', 'chr2')"), V.annotation(spark, SF).where("chrom = 'chr1'")
+    with caplog.at_level("INFO", logger="tequant"):
+        run(rows, te, cfg, str(tmp_path))
+    assert [r.message for r in caplog.records if r.levelname == "WARNING"] == ["reference chr2 is not in the annotation"]
+    assert [r.message.split(":")[0] for r in caplog.records if r.levelname == "INFO"] == ["checking inputs", "mapping reads to features", "writing barcodes and features", "counting", "done"]
+    with pytest.raises(BadAnnotation):
+        run(rows.where("chrom = 'chr2'"), te, cfg, str(tmp_path))
+    with pytest.raises(ValueError, match="no feature"):
+        kernel.count([(1,), ()])
