@@ -7,7 +7,8 @@ each count; after a context that the filter does not hold, it is the unigram's a
 quantised counts, so it sums to 1; the bigram part is a ratio of two quantised counts, each within a factor BASE of the exact one, so
 ``score`` is an estimate of the log probability and no exactly normalised one. No n-gram is left out and no count is cut.
 
-N-grams go by a 64-bit hash and are dealt to buckets by its size, as many as there are shuffle partitions. Each task sums what it has
+N-grams go by a 64-bit hash and are dealt to buckets by its size: one for each BUCKET_TEXT bytes of text, and as many as there are
+shuffle partitions at least. Each task sums what it has
 read before anything is shuffled, so an n-gram of any frequency reaches its bucket as a row per task at most; the bucket's task adds
 up, builds that part of the filter and the exact counts of its words (for ``base_score``). A model of up to BROADCAST_BYTES goes to
 the workers whole. A larger one stays where it is: the n-grams of each slab of texts are sent to their buckets and the counts sent
@@ -36,6 +37,7 @@ BITS_PER_ENTRY = 12
 WEIGHT = 0.6
 SEEN = 30.0
 BROADCAST_BYTES = 192 << 20
+BUCKET_TEXT = 16 << 20  # bytes of text per bucket of the model: some 3 million words and as many bigrams at most
 FLUSH = 1_500_000  # tokens that a task holds before it sums them
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -330,10 +332,12 @@ def _by_shuffle(rows: DataFrame, table: DataFrame, buckets: int, kind: str, sums
     return both.repartition(F.col("slab")).sortWithinPartitions("slab", "n", "bucket").mapInArrow(finish, f"k {kind}, {_RESULT}")
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, bucket_text: int = BUCKET_TEXT) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by the size of the texts, so that a bucket's hashes and counts fit a task however large the corpus is
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_text))
     table = cut(model(rows.where(training("k")), buckets, text="t"))
     size = sum((F.octet_length(c) for c in ("keys", "counts", "bits")), F.lit(0).cast("long"))
     row = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "mass")), F.coalesce(F.sum(size), F.lit(0))).first()
