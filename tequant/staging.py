@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scopes: list[list[str]] = []  # of tables written inside staged()
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that cut() writes inside it; what is read from them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors, computes nothing twice."""
     path = f"{shared_dir(df.sparkSession)}/tequant/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,5 +56,4 @@ def drop_cut(df: DataFrame) -> None:
     spark = df.sparkSession
     for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tequant/" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, top)

@@ -2,6 +2,7 @@ import gzip
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -21,6 +22,7 @@ from tequant.sources import bam as bam_source
 from tequant.sources.bam import BadBam, BamSource, indexed_counts, read_bam
 from tequant.sources.sam import parse_sam
 from tequant.sinks import files
+from tequant.staging import shared_dir
 from tequant.streaming.mapping import merged, stream_hits, stream_mappings
 
 SF = "/root/testdata/sf0.001"
@@ -94,8 +96,10 @@ def test_options():
 
 
 def test_files(spark, tmp_path):
-    cfg = V.config(dump_ec=True, keep_mappings=True, no_umi=True)
+    cfg, top = V.config(dump_ec=True, keep_mappings=True, no_umi=True), Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / "tequant"
+    before = set(top.glob("*"))
     run(V.alignments(spark, SF), V.annotation(spark, SF), cfg, str(tmp_path))
+    assert set(top.glob("*")) <= before  # no table of the run is left
     lines = gzip.decompress((tmp_path / "counts/matrix.mtx.gz").read_bytes()).decode().splitlines()
     n_features, n_barcodes, nnz = map(int, lines[1].split())
     assert lines[0].startswith("%%MatrixMarket") and len(lines) == nnz + 2
