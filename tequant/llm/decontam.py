@@ -1,20 +1,27 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Items and texts are the words ``\\w+`` of the lower-cased text. An item's seeds are its runs of SEED words; one pass over all texts
-counts how many hold each, and all that any text holds stay, however common. A second pass aligns the item with the text around each
-seed, unless the words they have in common, counted with repeats, are too few for the threshold; edits, insertions and deletions of
-words cost 1, a matching word gains 2. So of the pairs that share a seed every one that reaches the threshold is found, with its best
-score among the alignments that hold a seed; an edited copy that keeps no run of SEED words is not found.
+Items and texts are the words ``\\w+`` of the lower-cased text. In an alignment a matching word gains 2; edits, insertions and deletions of
+words cost 1. A pair is reported if its best alignment scores ``threshold`` of a perfect one or more, and no less than SHORT words
+copied in a row (the whole item, if it is shorter).
 
-Items go to the workers in blocks of at most BLOCK_BYTES, each block with its own two passes, so a benchmark of any size serves.
+Seeds are an item's words and pairs of neighbouring words, n and n - 1 of them. With M matches and E edits at most E + 1 runs of matches
+are left, so M - 1 - E pairs match besides M words: an alignment of the wanted score s = 2 M - E matches s - 1 seeds, and of any
+2 n - 1 - (s - 1) + c seeds it matches c. So one pass over all texts counts how often each seed stands in them, and each item keeps that
+many of its rarest, those that stand nowhere taking the first places; c is one eighth of the item's words. A second pass aligns an item
+with every stretch of text that holds c of its kept seeds, unless the words and pairs in common, counted with repeats, are too few. So
+every pair that reaches the threshold is found with the score that an alignment with the whole text has, however its edits lie.
 
-Defined cases: null and empty texts and items match nothing; items of fewer words than a seed are matched as one seed; repeated rows
-and items are handled each for itself; empty tables give an empty result; other columns of the input are ignored. Ids may be numbers or
-texts; items without one are left out.
+Items go to the workers in blocks of at most BLOCK_BYTES, each block with its own two passes, so a benchmark of any size serves; long
+texts are searched in overlapping stretches.
+
+Defined cases: null and empty texts and items match nothing; of equally good alignments the one that ends first counts, of those the
+shortest; repeated rows and items are handled each for itself; empty tables give an empty result; other columns of the input are
+ignored. Ids may be numbers or texts; items without one are left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,15 +33,16 @@ from pyspark.sql import functions as F
 
 from tequant.llm.common import texts
 
-SEED = 3
-BLOCK_BYTES = 32 << 20
+SHORT = 5
+STRETCH = 1 << 14  # words of a text that are searched at a time
+BLOCK_BYTES = 8 << 20
 WORD = re.compile(r"\w+")
 
 
 class Items:
-    """A block of items as numbered words, and their seeds."""
+    """A block of items as numbered words, and their seeds. A pair of words is one number, above those of words."""
 
-    def __init__(self, keys: list, bodies: list[str | None]):
+    def __init__(self, keys: list, bodies: list[str | None], threshold: float = 0.5):
         self.numbers: dict[str, int] = {}
         self.keys, self.words = [], []
         for k, body in zip(keys, bodies, strict=True):
@@ -42,52 +50,49 @@ class Items:
             if k is not None and words:
                 self.keys.append(k)
                 self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64))
-        self.bags = [np.unique(w, return_counts=True) for w in self.words]
-        rows = [(s, i, q) for i, w in enumerate(self.words) for q, s in enumerate(self.grams(w))]
-        self.seeds = np.array([r[0] for r in rows], np.int64)
-        self.item, self.offset = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """Runs of SEED numbered words as one number; 0 where a word is in no item. A short text is one run."""
-        base = len(self.numbers) + 1
-        if len(ids) < SEED:
-            return np.array([sum(int(w) * base**k for k, w in enumerate(ids))], np.int64) if len(ids) else np.zeros(0, np.int64)
-        parts = [ids[k : len(ids) - SEED + 1 + k] for k in range(SEED)]
-        out = sum(p * base**k for k, p in enumerate(parts))
-        out[np.min(parts, axis=0) == 0] = 0
-        return out
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.need = np.array([max(math.ceil(2 * n * threshold - 1e-9), 2 * min(n, SHORT)) for n in self.size.tolist()], np.int64)
+        self.span = self.size + np.maximum(0, 2 * self.size - self.need)  # 2 M - E >= s leaves room for 2 n - s insertions
+        self.least = np.minimum(np.maximum(1, self.need - 1), 1 + self.size // 8)
+        own = [self.features(w) for w in self.words]
+        self.bags = [np.unique(f, return_counts=True) for f, _ in own]
+        self.seeds, self.offset = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in own)]) for k in (0, 1))
+        self.item = np.repeat(np.arange(len(own)), np.array([len(f) for f, _ in own], np.int64))
+
+    def features(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and pairs with their places; 0 where a word is in no item."""
+        pairs = ids[:-1] * (len(self.numbers) + 1) + ids[1:]
+        pairs[(ids[:-1] == 0) | (ids[1:] == 0)] = 0
+        return np.r_[ids, pairs], np.r_[np.arange(len(ids)), np.arange(len(pairs))]
 
     def numbered(self, text: str | None) -> np.ndarray:
         words = WORD.findall((text or "").lower())
         return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
 
-    def all_grams(self, ids: np.ndarray) -> np.ndarray:
-        """Those of a text; where the block has items shorter than a seed, their runs as well (with the place of each in a second row)."""
-        out, at = self.grams(ids) if len(ids) >= SEED else np.zeros(0, np.int64), np.arange(max(0, len(ids) - SEED + 1))
-        base = len(self.numbers) + 1
-        for n in {len(w) for w in self.words if len(w) < SEED}:
-            parts = [ids[k : len(ids) - n + 1 + k] for k in range(n)]
-            more = sum(p * base**k for k, p in enumerate(parts)) if len(ids) >= n else np.zeros(0, np.int64)
-            if len(more):
-                more[np.min(parts, axis=0) == 0] = 0
-            out, at = np.r_[out, more], np.r_[at, np.arange(len(more))]
-        return np.stack([out, at])
-
-    def keep(self, counts: dict[int, int]) -> None:
-        """Leaves the seeds that stand in some text."""
-        kept = np.flatnonzero(np.array([int(s) in counts for s in self.seeds], bool))
+    def keep(self, seeds: np.ndarray, counts: np.ndarray) -> None:
+        """Leaves each item's rarest seeds, of which every wanted alignment matches ``least``, and of those the ones that stand in some text.
+        seeds: sorted, with how often they stand in all texts; the others stand in none."""
+        at = np.minimum(np.searchsorted(seeds, self.seeds), max(0, len(seeds) - 1))
+        n = np.where(seeds[at] == self.seeds, counts[at], 0) if len(seeds) else np.zeros(len(self.seeds), np.int64)
+        order = np.lexsort((n, self.item))
+        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
+        held = (2 * self.size - 1) - np.maximum(1, self.need - 1) + self.least
+        kept = order[(rank < held[self.item[order]]) & (n[order] > 0)]
         kept = kept[np.argsort(self.seeds[kept], kind="stable")]
         self.seeds, self.item, self.offset = self.seeds[kept], self.item[kept], self.offset[kept]
 
-    def common(self, i: int, ids: np.ndarray) -> int:
-        """How many words an item and a stretch of text have in common, with repeats; no alignment matches more."""
+    def enough(self, i: int, ids: np.ndarray) -> bool:
+        """Whether an item and a stretch of text have as many words, and words and pairs, in common as the wanted score takes."""
         own, n = self.bags[i]
-        at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
-        return int(np.minimum(np.bincount(at[own[at] == ids], minlength=len(own)), n).sum())
+        f, _ = self.features(ids)
+        at = np.minimum(np.searchsorted(own, f), len(own) - 1)
+        common = np.minimum(np.bincount(at[own[at] == f], minlength=len(own)), n)
+        words = common[: np.searchsorted(own, len(self.numbers) + 1)].sum()
+        return bool(2 * words >= self.need[i] and common.sum() >= self.need[i] - 1)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman: (score, start, end) of the best stretch of b for a."""
+    """Smith-Waterman: (score, start, end) of the best stretch of b for a; of equal ones that which ends first, of those the shortest."""
 
     def best(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
         row, col = np.zeros(len(y) + 1, np.int32), np.arange(len(y) + 1, dtype=np.int32)
@@ -98,7 +103,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             np.maximum(new, 0, out=new)
             row = np.maximum.accumulate(new + col) - col
             k = int(row.argmax())
-            if row[k] > top:
+            if (row[k], -k) > (top, -end):
                 top, end = int(row[k]), k
         return top, end
 
@@ -107,36 +112,41 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def matches(items: Items, ids: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, start, end) of the best alignment around the seeds of a text.
-
-    An alignment that reaches the threshold has at most ``2 n (1 - threshold)`` inserted words, so each window holds it whole.
-    """
-    grams, at = items.all_grams(ids)
-    low, high = np.searchsorted(items.seeds, grams, "left"), np.searchsorted(items.seeds, grams, "right")
-    hit = np.flatnonzero((high > low) & (grams > 0))
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for h in hit:
-        for r in range(low[h], high[h]):
-            i = int(items.item[r])
-            n, from_ = len(items.words[i]), int(at[h] - items.offset[r])
-            more = int(2 * n * (1 - threshold)) + 1
-            windows.setdefault(i, []).append((max(0, from_ - more), min(len(ids), from_ + n + more)))
+def stretches(items: Items, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item number, begin, end) of the stretches of a text that hold an item's ``least`` seeds; each holds the alignments it stands for."""
+    longest = int(items.span.max(initial=0))
+    size = max(STRETCH, 4 * longest)
+    for begin in range(0, max(1, len(ids) - longest), size - longest):
+        f, place = items.features(ids[begin : begin + size])
+        some = np.flatnonzero(f)
+        low = np.searchsorted(items.seeds, f[some], "left")
+        n = np.searchsorted(items.seeds, f[some], "right") - low
+        row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, at = items.item[row], np.repeat(place[some] + begin, n)
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        last = np.arange(len(item)) + items.least[item] - 1
+        k = np.flatnonzero(last < len(item))
+        k = k[(item[last[k]] == item[k]) & (at[last[k]] - at[k] < items.span[item[k]])]
+        span = items.span[item[k]]
+        yield from zip(item[k].tolist(), np.maximum(0, at[last[k]] - span + 1).tolist(), np.minimum(len(ids), at[k] + span).tolist(), strict=True)
+
+
+def matches(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """(item number, score, start, end) of the best alignment of each item that reaches its score."""
+    windows: dict[int, list[list[int]]] = {}
+    for i, a, b in stretches(items, ids) if len(ids) else ():
+        found = windows.setdefault(i, [])
+        if found and found[-1][0] <= a <= found[-1][1]:
+            found[-1][1] = max(b, found[-1][1])
+        else:
+            found.append([a, b])
     out = []
     for i, found in windows.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        merged = [m for m in merged if items.common(i, ids[m[0] : m[1]]) >= threshold * len(items.words[i])]
-        if not merged:
-            continue
-        scored = [(s / (2 * len(items.words[i])), x + a, y + a) for a, b in merged for s, x, y in [align(items.words[i], ids[a:b])]]
-        score, x, y = max(scored, key=lambda s: (s[0], -s[1]))
-        if score >= threshold:
-            out.append((i, score, x, y))
+        scored = [(s, -(y + a), x + a) for a, b in found if items.enough(i, ids[a:b]) for s, x, y in [align(items.words[i], ids[a:b])]]
+        if scored and max(scored)[0] >= items.need[i]:
+            score, end, start = max(scored)
+            out.append((i, score / (2 * len(items.words[i])), start, -end))
     return out
 
 
@@ -149,39 +159,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
     wanted = benchmark.select(benchmark[item].alias("i"), benchmark[body].alias("b"))
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((rows, "k"), (wanted, "i"))]
+    named = wanted.select("i").limit(0).toArrow().schema.field(0).type
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = None
     for n in range(blocks):
         own = sorted(wanted.where(F.pmod(F.xxhash64("i", "b"), F.lit(blocks)) == n).dropna().collect())
-        items = Items([r["i"] for r in own], [r["b"] for r in own])
-        if (len(items.numbers) + 1) ** SEED >= 1 << 63:  # too many different words for one number per seed
-            return leaks(docs, benchmark, key=key, text=text, item=item, body=body, threshold=threshold, block_bytes=block_bytes // 2)
+        items = Items([r["i"] for r in own], [r["b"] for r in own], threshold)
         held = spark.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            x, seeds, sums = held.value, np.unique(held.value.seeds), None
+            x, seeds = held.value, np.unique(held.value.seeds)
+            sums = np.zeros(len(seeds), np.int64)
             for _, t in texts(batches):
-                g = np.unique(x.all_grams(x.numbered(t))[0])
-                at = np.searchsorted(seeds, g)
-                ok = at < len(seeds)
-                ok[ok] = seeds[at[ok]] == g[ok]
-                sums = np.zeros(len(seeds), np.int64) if sums is None else sums
-                sums[at[ok]] += 1
-            if sums is not None and sums.any():
+                f = x.features(x.numbered(t))[0]
+                f = f[f > 0]
+                at = np.minimum(np.searchsorted(seeds, f), max(0, len(seeds) - 1))
+                np.add.at(sums, at[seeds[at] == f], 1)
+            if sums.any():
                 yield pa.RecordBatch.from_pydict({"seed": seeds[sums > 0], "n": sums[sums > 0]})
 
         counted = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        items.keep({r["seed"]: r["n"] for r in counted.collect()})  # at most one row per seed of the block
+        counted = counted.toArrow().sort_by("seed")  # at most one row per seed of the block
+        items.keep(counted["seed"].to_numpy(), counted["n"].to_numpy())
         kept = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             x = kept.value
             for batch in batches:
                 for k, t in texts(iter([batch])):
-                    found = matches(x, x.numbered(t), threshold)
+                    found = matches(x, x.numbered(t))
                     if found:
-                        values = {"doc_id": pa.array([k] * len(found), batch.schema.field(0).type), "item_id": [x.keys[f[0]] for f in found], "score": [f[1] for f in found], "start_word": [f[2] for f in found], "end_word": [f[3] for f in found]}
+                        values = {"doc_id": pa.array([k] * len(found), batch.schema.field(0).type), "item_id": pa.array([x.keys[f[0]] for f in found], named), "score": [f[1] for f in found], "start_word": [f[2] for f in found], "end_word": [f[3] for f in found]}
                         yield pa.RecordBatch.from_pydict(values)
 
         some = rows.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start_word long, end_word long")

@@ -325,9 +325,9 @@ def test_leaks_of_edited_copies(spark):
     x = decontam.Items(list(range(8)), [" ".join(i) for i in items])
     want = {}
     for k, t in enumerate(texts):
-        for i, item in enumerate(items):
+        for i in range(len(items)):
             score = decontam.align(x.words[i], x.numbered(" ".join(t)))[0] / 64
-            if score >= 0.5 and {tuple(item[a : a + 3]) for a in range(30)} & {tuple(t[a : a + 3]) for a in range(len(t))}:
+            if score >= 0.5:
                 want[k, i] = score
     assert len(want) == 56
     found = decontam.leaks(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
