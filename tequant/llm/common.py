@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tequant.staging import cut, drop_cut, shared_dir
 
-__all__ = ["ascii_lower", "bounded", "cut", "drop_cut", "let", "mix", "shared_dir", "span_hashes", "table", "text_slabs", "texts", "worker_state"]
+__all__ = ["arrow_type", "ascii_lower", "bounded", "cut", "drop_cut", "let", "mix", "shared_dir", "span_hashes", "table", "text_slabs", "texts", "worker_state"]
 
 BROADCAST_KEYS = 1 << 21  # longs; 16 MB, and some 64 MB as a hash table
 
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type in which a column comes to Python workers."""
+    return df.select(column).limit(0).toArrow().schema.field(0).type
+
+
 def bounded(keys: DataFrame) -> DataFrame:
     """A table of one long per row, to be joined: written, counted, and broadcast if it has BROADCAST_KEYS rows at most."""
     keys = cut(keys)

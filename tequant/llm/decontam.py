@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tequant.llm.common import texts
+from tequant.llm.common import arrow_type, texts
 
 SHORT = 5
 STRETCH = 1 << 14  # words of a text that are searched at a time
@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
     wanted = benchmark.select(benchmark[item].alias("i"), benchmark[body].alias("b"))
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((rows, "k"), (wanted, "i"))]
-    named = wanted.select("i").limit(0).toArrow().schema.field(0).type
+    named = arrow_type(wanted, "i")
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = None

@@ -12,7 +12,7 @@ then relaxed:
 Characters in no piece become their UTF-8 bytes' pieces, or the unknown id where the vocabulary has none.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each for itself; an empty table gives an empty result; other
-columns of the input are ignored. Units of any length are encoded whole. At most LIMIT units are remembered by a worker.
+columns of the input are ignored. Keys keep their type. Units of any length are encoded whole. At most LIMIT units are remembered by a worker.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tequant.llm.common import texts, worker_state
+from tequant.llm.common import arrow_type, texts, worker_state
 
 SPACE = "▁"
 END = "\n"  # parts the units in the indexed text
@@ -263,6 +263,8 @@ class Coder:
 
 def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) per document."""
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    kind, named = rows.schema["k"].dataType.simpleString(), arrow_type(rows, "k")
     held = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # a model's file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,22 +273,26 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
             ids = coder.encode_all(some)
             ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), values], ["k", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, named), values], ["k", "ids"])
 
-    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    return rows.mapInArrow(run, "k long, ids array<int>").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(rows: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) per row of ids; null ids give null."""
+    some = rows.select(rows[key].alias("k"), rows[ids].alias("x"))
+    kind = some.schema["k"].dataType.simpleString()
     held = rows.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of_worker(held.value)
-        for k, x in texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([None if x is None else coder.decode(np.array(x, np.int64))], pa.string())], ["k", "text"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                keys, values = batch.slice(at, 256).columns
+                decoded = [None if x is None else coder.decode(np.array(x, np.int64)) for x in values.to_pylist()]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(decoded, pa.string())], ["k", "text"])
 
-    return rows.select(rows[key].cast("long").alias("k"), ids).mapInArrow(run, "k long, text string").withColumnRenamed("k", key)
+    return some.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
 
 
 def slabs(rows: Iterator[tuple], chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -304,6 +310,8 @@ def slabs(rows: Iterator[tuple], chars: int = 2_000_000) -> Iterator[tuple[list,
 
 def round_trip(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), round_trip (whether they decode to it)."""
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    kind, named = rows.schema["k"].dataType.simpleString(), arrow_type(rows, "k")
     held = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +320,6 @@ def round_trip(docs: DataFrame, model: str, *, key: str = "doc_id", text: str =
             ids = coder.encode_all(some)
             same = [coder.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, some, strict=True)]
             crc = [zlib.crc32(x.astype("<u4")) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["k", "n_pieces", "ids_crc32", "round_trip"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, named), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["k", "n_pieces", "ids_crc32", "round_trip"])
 
-    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    return rows.mapInArrow(run, "k long, n_pieces long, ids_crc32 long, round_trip boolean").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, n_pieces long, ids_crc32 long, round_trip boolean").withColumnRenamed("k", key)
