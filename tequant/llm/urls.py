@@ -100,13 +100,14 @@ def judge(docs: DataFrame, rules: Iterable[Rule], *, key: str, url: str = "url",
 
 
 def _judge_by_join(docs: DataFrame, rules: list[Rule], key: str, url: str, default: str) -> DataFrame:
-    """The same by an equi-join on every host suffix, for rule sets that are too large to broadcast."""
+    """The same by an equi-join on every host suffix, for rule sets that are too large to broadcast. Urls of one host and path are judged
+    once, and rows meet their verdict by both."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(r.verdict, r.host.lower(), r.path) for r in set(rules)] or [("allow", "", "")], "r_verdict string, r_host string, r_path string")
-    parts = url_parts(docs, key, url=url).withColumn("_row", F.monotonically_increasing_id())
+    parts = url_parts(docs, key, url=url)
     n = F.size(F.split("host", "\\."))
     tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.split("host", "\\."), i, n), "."))
-    hits = parts.select("_row", "path", F.explode(F.array_distinct(tails)).alias("r_host")).join(table, "r_host").where(F.col("path").startswith(F.col("r_path")))
+    hits = parts.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(tails)).alias("r_host")).join(table, "r_host").where(F.col("path").startswith(F.col("r_path")))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.col("r_verdict") == "block", F.concat("r_host", "r_path"), "r_verdict")
-    best = hits.groupBy("_row").agg(F.max(rank).alias("b")).select("_row", F.col("b.col3").alias("rule"), F.col("b.r_verdict").alias("verdict"))
-    return parts.join(best, "_row", "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max(rank).alias("b")).select("host", "path", F.col("b.col3").alias("rule"), F.col("b.r_verdict").alias("verdict"))
+    return parts.join(best, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
