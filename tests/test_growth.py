@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
+from tequant.operators import components, umi_graph
+from tequant.operators import counts as C
+from tequant.plans import quantify as P
 from tequant.plans import testviews as V
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +16,61 @@ def test_letters_are_spelled_once_an_order(spark):
     plan = V.alignments(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     above, found, _ = plan.partition("Generate explode")
     assert found and "ACGT" not in above and "conv(" not in above
+
+
+def test_an_index_is_read_without_the_umi_graph(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("the UMI graph was built")
+
+    monkeypatch.setattr(C, "edges", never)
+    q = P.quantify(V.alignments(spark, SF), V.annotation(spark, SF), V.config())
+    assert q.features.count() and q.barcodes.count()
+
+
+def _classes(spark):
+    rng = random.Random(7)
+    rows = []
+    for cb in ("x", "y"):
+        umis = ["".join(rng.choice("AC") for _ in range(rng.choice((5, 6, 6, 9)))) for _ in range(70)]
+        rows += [(cb, i, u, sorted(rng.sample("abcdefgh", rng.choice((1, 2)))), rng.choice((1, 1, 2, 3, 5))) for i, u in enumerate(sorted(umis))]
+    links = []
+    for cb, i, u, f, n in rows:
+        for other, j, v, g, m in rows:
+            if cb == other and i != j and sum(a != b for a, b in zip(u, v, strict=False)) <= 1 and set(f) & set(g) and n >= 2 * m - 1:
+                links.append((cb, i, j))
+    return spark.createDataFrame(rows, "cb string, ec_index int, umi string, features array<string>, read_count int"), rows, sorted(links)
+
+
+def test_links_and_parents_need_no_shuffle_of_pairs(spark):
+    ecs, rows, links = _classes(spark)
+    found = umi_graph.edges(ecs)
+    assert sorted(map(tuple, found.collect())) == links
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3  # the places of both sides with lengths, and with each other
+    entered = {(cb, j) for cb, _, j in links}
+    none = umi_graph.parents(ecs)
+    assert sorted(map(tuple, none.collect())) == sorted((cb, i) for cb, i, *_ in rows if (cb, i) not in entered)
+    assert "ec_index < " not in none._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_components_alone_reach_the_kernel(spark, monkeypatch):
+    ecs, rows, links = _classes(spark)
+    labels = {(r.cb, r.ec_index): r.component for r in C.component_labels(ecs).collect()}
+    sizes = {}
+    for (cb, _), c in labels.items():
+        sizes[cb, c] = sizes.get((cb, c), 0) + 1
+    got = C.molecules(ecs, most=2).collect()
+    assert all(sizes[r.cb, labels[r.cb, r.root]] == len(r.members) <= 2 for r in got)
+    assert sum(len(r.members) for r in got) == sum(n for n in sizes.values() if n <= 2)
+
+
+def test_the_plan_of_components_does_not_grow_with_the_rounds(spark, monkeypatch):
+    links = spark.createDataFrame([("z", i, i + 1) for i in range(300)], "cb string, src int, dst int")
+    sizes, cut = [], components.cut
+
+    def held(df):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut(df)
+
+    monkeypatch.setattr(components, "cut", held)
+    assert {r.component for r in components.linked_components(links, 0).collect()} == {0}
+    assert max(sizes[-3:]) < 6000
