@@ -6,6 +6,7 @@ import random
 
 from tequant.operators import components, umi_graph
 from tequant.operators import counts as C
+from tequant.operators.em_dataflow import settle
 from tequant.plans import quantify as P
 from tequant.plans import testviews as V
 
@@ -74,3 +75,16 @@ def test_the_plan_of_components_does_not_grow_with_the_rounds(spark, monkeypatch
     monkeypatch.setattr(components, "cut", held)
     assert {r.component for r in components.linked_components(links, 0).collect()} == {0}
     assert max(sizes[-3:]) < 6000
+
+
+def test_shares_at_hand_equal_joined_ones_and_cells_are_no_groups(spark):
+    rng = random.Random(5)
+    rows = [(cb, sorted(rng.sample("abcdefg", rng.choice((2, 3)))), rng.choice((1, 2, 9))) for cb in "xyz" for _ in range(12)]
+    sets = spark.createDataFrame(rows, "cb string, features array<string>, weight long")
+    for cycles, tolerance in ((3, -1.0), (100, 1e-3)):
+        (a, b), (c, d) = (settle(sets, cycles, tolerance, most=n) for n in (1 << 20, 0))
+        fine = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+        assert fine(a) == fine(c) and fine(b) == fine(d) and len(b.collect()) == 3
+    units = spark.createDataFrame([(cb, i, f) for i, (cb, f, _) in enumerate(rows)], "cb string, unit_id int, features array<string>")
+    assert "Window" not in C.em_shares(units, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert C.em_shares(units.limit(0), 2).collect() == [] and C.em_loglik(units.limit(0), 2).collect() == []
