@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from tequant.operators import components, umi_graph
+from tequant.config import QuantConfig
+from tequant.operators import components, filters, mappings, overlap, umi_graph
 from tequant.operators import counts as C
 from tequant.operators.em_dataflow import settle
 from tequant.plans import quantify as P
@@ -19,6 +20,35 @@ def test_letters_are_spelled_once_an_order(spark):
     assert found and "ACGT" not in above and "conv(" not in above
 
 
+def test_tags_are_no_maps_and_tasks_are_several_waves(spark):
+    plan = filters.valid_alignments(V.alignments(spark, SF), V.config())._jdf.queryExecution().optimizedPlan().toString()
+    above, found, below = plan.partition("Join Inner")
+    assert found and "map(" not in plan and "IN (,-)" not in above and "NOT substring_index" in below  # barcodes go before the join
+    assert int(plan.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_sets_of_reads_equal_those_of_all_hits(spark):
+    rng = random.Random(3)
+    te = [(i, rng.choice(("c1", "c2")), s := rng.randrange(300), s + rng.randrange(1, 90), rng.choice(("A#x", "B", "é", "z#y", None)), rng.choice("+-")) for i in range(60)]
+    te = spark.createDataFrame(te, "te_id long, chrom string, start long, end long, feature string, strand string")
+    rows = [(i, rng.choice("xy"), rng.choice(("AC", "CA")), rng.choice(("r1", "r2", "r3", "r4", None)), rng.choice(("c1", "c2", "c3", None)), rng.choice("+-"), [(s := rng.randrange(-20, 400), s + 30)] * rng.choice((0, 1, 2))) for i in range(400)]
+    rows = spark.createDataFrame(rows, "aid long, cb string, umi string, read string, chrom string, strand string, blocks array<struct<start:long,end:long>>").repartition(5)
+    size, key = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        for cfg in (QuantConfig(), QuantConfig(strandedness="reverse"), QuantConfig(min_bp_overlap=20), QuantConfig(min_fraction_overlap=0.5)):
+            want, *got = (sorted(map(repr, df.collect())) for df in (mappings.read_features(overlap.overlaps(rows, te, cfg)), overlap.read_sets(rows, te, cfg), overlap.read_sets(rows, te, cfg, index_bytes=0)))
+            assert want and all(x == want for x in got)
+    finally:
+        spark.conf.set(key, size)
+
+
+def test_numbered_classes_are_read_without_a_window(spark):
+    maps = spark.createDataFrame([("x", "AC", ["b"], 1), ("x", "AA", ["b"], 2)], "cb string, umi string, features array<string>, read_count int")
+    ecs = mappings.equivalence_classes(maps)
+    assert "Window" not in ecs._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, ecs.collect())) == [("x", 0, "AA", ["b"], 2), ("x", 1, "AC", ["b"], 1)]
+
+
 def test_an_index_is_read_without_the_umi_graph(spark, monkeypatch):
     def never(*_):
         raise AssertionError("the UMI graph was built")
