@@ -83,6 +83,12 @@ def test_links_and_parents_need_no_shuffle_of_pairs(spark):
     assert "ec_index < " not in none._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_no_cell_goes_to_one_task_for_the_lengths_of_its_umis(spark):
+    ecs, *_ = _classes(spark)
+    for df in (umi_graph.edges(ecs), umi_graph.candidate_pairs(ecs)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+
+
 def test_small_components_alone_reach_the_kernel(spark, monkeypatch):
     ecs, rows, links = _classes(spark)
     labels = {(r.cb, r.ec_index): r.component for r in C.component_labels(ecs).collect()}
