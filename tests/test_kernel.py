@@ -121,3 +121,21 @@ def test_a_component_of_4000_classes_takes_no_square_time(both):
     begun = time.process_time()
     units = K.molecules(features, sorted(set(links)))
     assert sum(len(u.members) for u in units) == n and time.process_time() - begun < 5  # some 0.5 s; every cover built takes minutes
+
+
+def test_covers_of_a_component_are_weighed_together():
+    """4,000 classes of which 3,000 are starts whose paths meet."""
+    rng, n = random.Random(11), 4000
+    features = [frozenset(rng.sample(range(20), rng.randint(1, 6))) for _ in range(n)]
+    links = {(a, b) for b in range(1000) for a in rng.sample(range(1000, n), 12) if features[a] & features[b]}
+    links |= {(a, b) for a in range(1000) for b in rng.sample(range(1000), 6) if a != b and features[a] & features[b]}
+    begun = time.process_time()
+    units = K.molecules(features, sorted(links))
+    assert sum(len(u.members) for u in units) == n and time.process_time() - begun < 4  # some 0.2 s; 12.5 s one after the other
+
+
+def test_covers_weighed_in_several_parts(monkeypatch):
+    monkeypatch.setattr(K, "BITS", 1)
+    rng = random.Random(12)
+    args = some_graph(rng, 400, 2, 9, 3, 0.2)
+    assert [(u.root, tuple(sorted(u.members)), u.features) for u in K.molecules(*args)] == plain_molecules(*args)
