@@ -124,3 +124,12 @@ def test_shares_at_hand_equal_joined_ones_and_cells_are_no_groups(spark):
     units = spark.createDataFrame([(cb, i, f) for i, (cb, f, _) in enumerate(rows)], "cb string, unit_id int, features array<string>")
     assert "Window" not in C.em_shares(units, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert C.em_shares(units.limit(0), 2).collect() == [] and C.em_loglik(units.limit(0), 2).collect() == []
+
+
+def test_molecules_of_a_run_are_made_once_in_several_waves(spark, monkeypatch):
+    asked, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: asked.append(df) or cut(df))
+    units = P.quantify(V.alignments(spark, SF), V.annotation(spark, SF), V.config()).units
+    assert "MapInArrow" not in units._jdf.queryExecution().optimizedPlan().toString()
+    kernel = asked[-1]._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[2]
+    assert int(kernel.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 4 * spark.sparkContext.defaultParallelism
