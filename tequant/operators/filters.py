@@ -25,8 +25,9 @@ def valid_alignments(alignments: DataFrame, cfg: QuantConfig, whitelist: DataFra
     cb = tag(F.col("tags"), cfg.cb_tag, split_on_colon=cfg.split_tag_on_colon)
     rows = alignments.select("aid", cb.alias("cb"), umi.alias("umi"), F.substring_index("qname", "/", 1).alias("read"), "chrom", "strand", "blocks", *carry)
     rows = rows.where(~F.col("cb").isin("", "-"))
-    # a fixed value: UMIs that repeat one base
-    return rows if cfg.no_umi else rows.where(~F.contains("umi", F.lit("N")) & ~F.col("umi").rlike("^$|^(A+|G+|T+|C+)$"))
+    # a fixed value: UMIs that repeat one base; the pattern is tried on those alone that begin with two equal letters or are shorter
+    begins = (F.length("umi") < 2) | (F.substring("umi", 1, 1) == F.substring("umi", 2, 1))
+    return rows if cfg.no_umi else rows.where(~F.contains("umi", F.lit("N")) & ~(begins & F.col("umi").rlike("^$|^(A+|G+|T+|C+)$")))
 
 
 def check_tags(alignments: DataFrame, cfg: QuantConfig, records: int = 999_998) -> DataFrame:

@@ -10,6 +10,7 @@ from tequant.config import QuantConfig
 from tequant.staging import waves
 
 VIEW = {"bin_width": 128}
+TASKS_A_PART = 16  # of up to 128 MB
 
 
 def base4(x: Column, n: int) -> Column:
@@ -40,9 +41,12 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Barcodes and UMIs are spelled once an order, before the join; what reads of an order share is made before they are told apart.
 
     An order grows into up to 42 alignments after the shuffle, by whose size adaptive execution would make one task more than there are
-    cores: a second wave for one of them. So the number of tasks is given: several waves, and as many as the session asks for."""
+    cores: a second wave for one of them. So the number of tasks is given: several waves, as many as the session asks for, and some for each
+    part of the input, so that what a task sorts and holds does not grow with it."""
     of_r = F.when(F.col("l_returnflag") < "R", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)  # 1: least is R; sums of numbers need no sort
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(waves(spark), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min(of_r).alias("of_r"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    tasks = max(waves(spark), TASKS_A_PART * lines.rdd.getNumPartitions())
+    lines = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min(of_r).alias("of_r"))
     key, u = F.col("o_orderkey"), (F.col("o_orderkey") * 7) % 4093
     spelled = lambda x: F.when(key % 89 == 0, F.concat(F.lit("N"), F.substring(base4(x, 6), 2, 5))).otherwise(base4(x, 6))
     cb = F.when(key % 97 == 0, "-").when(key % 101 == 0, "").otherwise(base4((F.col("o_custkey") % 32) * 2003, 8))

@@ -133,3 +133,16 @@ def test_molecules_of_a_run_are_made_once_in_several_waves(spark, monkeypatch):
     assert "MapInArrow" not in units._jdf.queryExecution().optimizedPlan().toString()
     kernel = asked[-1]._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[2]
     assert int(kernel.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_tasks_of_alignments_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(V, "TASKS_A_PART", 1000)
+    plan = V.alignments(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert int(plan.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 1000
+
+
+def test_umis_of_one_base_go_whatever_their_length(spark):
+    umis = ["", "A", "AA", "AC", "CCCC", "CCCG", "GGGGGG", "TTA", "T", "AN", "NA", "N", "X", "XX", "AAAC"]
+    rows = spark.createDataFrame([(i, f"r{i}", {"CB": "x", "UR": u}) for i, u in enumerate(umis)], "aid long, qname string, tags map<string,string>")
+    rows = rows.selectExpr("*", "'c' AS chrom", "'+' AS strand", "array() AS blocks")
+    assert {r.umi for r in filters.valid_alignments(rows, V.config()).collect()} == {"AC", "CCCG", "TTA", "X", "XX", "AAAC"}
