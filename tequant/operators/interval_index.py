@@ -76,7 +76,9 @@ class IntervalIndex:
         ov = np.minimum(end[block], self.end[interval]) - np.maximum(start[block], self.start[interval])
         row = owner[block]
         if strands:
-            code = np.array([{"+": 1, "-": 2}.get(s, -1) for s in batch.column("strand").to_pylist()], np.int8)
+            strand = pc.dictionary_encode(batch.column("strand"))
+            kinds = np.array([{"+": 1, "-": 2}.get(s, -1) for s in strand.dictionary.to_pylist()] + [-1], np.int8)
+            code = kinds[pc.fill_null(strand.indices, len(kinds) - 1).to_numpy(zero_copy_only=False)]
             same = code[row] == self.strands[interval]
             row, interval, ov = row[same], interval[same], ov[same]
         order = np.lexsort((interval, row))  # the blocks of an alignment add up per interval
