@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tequant.functions.columns import locus_name, subfamily
@@ -17,6 +17,11 @@ def read_features(hits: DataFrame, *by: str) -> DataFrame:
     return hits.groupBy(*by, "cb", "umi", "read").agg(F.sort_array(F.collect_set("feature")).alias("features"))
 
 
+def read_name(qname: Column) -> Column:
+    """A read's name without what tells its mates apart."""
+    return F.substring_index(qname, "/", 1)
+
+
 def merged_sets(parts: DataFrame) -> DataFrame:
     """As ``read_features``, from sorted sets (cb, umi, read, features) of which a read may have several."""
     found = parts.groupBy("cb", "umi", "read").agg(F.collect_list("features").alias("sets"))

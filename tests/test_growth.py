@@ -146,3 +146,13 @@ def test_umis_of_one_base_go_whatever_their_length(spark):
     rows = spark.createDataFrame([(i, f"r{i}", {"CB": "x", "UR": u}) for i, u in enumerate(umis)], "aid long, qname string, tags map<string,string>")
     rows = rows.selectExpr("*", "'c' AS chrom", "'+' AS strand", "array() AS blocks")
     assert {r.umi for r in filters.valid_alignments(rows, V.config()).collect()} == {"AC", "CCCG", "TTA", "X", "XX", "AAAC"}
+
+
+def test_a_short_whitelist_goes_before_the_reads_are_told_apart(spark, monkeypatch):
+    rows = lambda: filters.valid_alignments(V.alignments(spark, SF), V.config(), V.whitelist(spark).unionByName(spark.createDataFrame([(None,)], "cb string")))
+    short = rows()
+    above, found, below = short._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert found and "LeftSemi" not in above and "map(" not in above + below
+    want = sorted(map(repr, short.collect()))
+    monkeypatch.setattr(filters, "LISTED", 3)  # the other way: a join, without a map of tags
+    assert "map(" not in rows()._jdf.queryExecution().optimizedPlan().toString() and want and sorted(map(repr, rows().collect())) == want
