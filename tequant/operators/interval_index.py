@@ -13,6 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def _runs(n: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray, *codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row differs from the one before it in its blocks, of which it has n, or in a code; and the first row of its run."""
+    differs = np.ones(len(n), bool)
+    differs[1:] = (n[1:] != n[:-1]) | np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+    block = np.flatnonzero(~differs[owner])  # as many blocks before it lies the block of the same place
+    before = block - n[owner[block]]
+    differs[owner[block[(start[block] != start[before]) | (end[block] != end[before])]]] = True
+    return differs, np.maximum.accumulate(np.where(differs, np.arange(len(n)), 0))
+
+
 class IntervalIndex:
     def __init__(self, table: pa.Table):
         """Of (te_id, chrom, start, end, feature, strand); strand is the one an alignment must have, null if none will do."""
@@ -67,16 +77,17 @@ class IntervalIndex:
         start, end = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
         length = np.bincount(owner, end - start, batch.num_rows)
         chrom = pc.dictionary_encode(batch.column("chrom"))
+        strand = pc.dictionary_encode(batch.column("strand")) if strands else None
+        kept, at_row = _runs(n, owner, start, end, *(pc.fill_null(d.indices, len(d.dictionary)).to_numpy(zero_copy_only=False) for d in (chrom, strand) if d is not None))
         known = np.array([self.chroms.get(c, -1) for c in chrom.dictionary.to_pylist()] + [-1], np.int64)
         at = known[pc.fill_null(chrom.indices, len(known) - 1).to_numpy(zero_copy_only=False)][owner]
-        ok = np.flatnonzero((start < end) & (at >= 0) & (start < self.span) & (end > 0))
+        ok = np.flatnonzero(kept[owner] & (start < end) & (at >= 0) & (start < self.span) & (end > 0))
         owner, shift = owner[ok], at[ok] * self.span
         start, end = np.maximum(start[ok], 0) + shift, np.minimum(end[ok], self.span) + shift
         block, interval = self.pairs(start, end)
         ov = np.minimum(end[block], self.end[interval]) - np.maximum(start[block], self.start[interval])
         row = owner[block]
         if strands:
-            strand = pc.dictionary_encode(batch.column("strand"))
             kinds = np.array([{"+": 1, "-": 2}.get(s, -1) for s in strand.dictionary.to_pylist()] + [-1], np.int8)
             code = kinds[pc.fill_null(strand.indices, len(kinds) - 1).to_numpy(zero_copy_only=False)]
             same = code[row] == self.strands[interval]
@@ -86,7 +97,13 @@ class IntervalIndex:
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (interval[1:] != interval[:-1])]) if len(row) else np.zeros(0, np.int64)
         ov, row, interval = np.add.reduceat(ov, first) if len(first) else ov, row[first], interval[first]
         keep = (ov >= least) & (ov >= fraction * length[row])
-        return row[keep], interval[keep], ov[keep]
+        row, interval, ov = row[keep], interval[keep], ov[keep]
+        if kept.all():
+            return row, interval, ov
+        found = np.bincount(row, minlength=batch.num_rows)  # what a run's first row has found holds for all of them
+        first, n = (np.cumsum(found) - found)[at_row], found[at_row]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(batch.num_rows), n), interval[at], ov[at]
 
     def hits(self, batch: pa.RecordBatch, strands: bool, least: int, fraction: float) -> pa.RecordBatch:
         """(aid, cb, umi, read, te_id, feature, ov) and what comes behind the blocks, of the alignments (aid, cb, umi, read, chrom, strand, blocks, ..) of a batch."""

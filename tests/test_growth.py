@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from tequant.config import QuantConfig
 from tequant.operators import components, filters, mappings, overlap, umi_graph
 from tequant.operators import counts as C
 from tequant.operators.em_dataflow import settle
+from tequant.operators.interval_index import IntervalIndex
 from tequant.plans import quantify as P
 from tequant.plans import testviews as V
 
@@ -156,3 +159,20 @@ def test_a_short_whitelist_goes_before_the_reads_are_told_apart(spark, monkeypat
     want = sorted(map(repr, short.collect()))
     monkeypatch.setattr(filters, "LISTED", 3)  # the other way: a join, without a map of tags
     assert "map(" not in rows()._jdf.queryExecution().optimizedPlan().toString() and want and sorted(map(repr, rows().collect())) == want
+
+
+def test_rows_of_the_same_place_are_searched_once(monkeypatch):
+    rng = random.Random(5)
+    te = pa.table({"te_id": list(range(40)), "chrom": [rng.choice("ab") for _ in range(40)], "start": (s := [rng.randrange(300) for _ in range(40)]), "end": [x + rng.randrange(1, 90) for x in s], "feature": [rng.choice("ABC") for _ in range(40)], "strand": [rng.choice("+-") for _ in range(40)]})
+    index, looked, pairs = IntervalIndex(te), [], IntervalIndex.pairs
+    monkeypatch.setattr(IntervalIndex, "pairs", lambda self, start, end: looked.append(len(start)) or pairs(self, start, end))
+    places = [(rng.choice(("a", "b", "c", None)), rng.choice(("+", "-", None)), [{"start": (s := rng.randrange(350)), "end": s + 30}, {"start": s + 60, "end": s + 90}][: rng.choice((0, 1, 2))]) for _ in range(60)]
+    rows = [(k, *p) for k, p in enumerate(x for p in places for x in [p] * rng.choice((1, 1, 3)))]
+    blocks = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], blocks)], ["chrom", "strand", "blocks"])
+    for strands, least, fraction in ((False, 1, 0.0), (True, 1, 0.0), (False, 20, 0.0), (False, 1, 0.5)):
+        got, total = [x.tolist() for x in index.met(batch, strands, least, fraction)], looked.pop()
+        one = [index.met(batch.slice(k, 1), strands, least, fraction) for k in range(len(rows))]
+        want = [[k for k, m in enumerate(one) for _ in m[0]], [x for m in one for x in m[1].tolist()], [x for m in one for x in m[2].tolist()]]
+        assert got == want and want[0] and total < sum(looked)
+        looked.clear()
