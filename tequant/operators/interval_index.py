@@ -117,15 +117,17 @@ class IntervalIndex:
         return pa.RecordBatch.from_arrays([*columns, self.ids.take(pa.array(interval)), feature, pa.array(ov), *more], ["aid", "cb", "umi", "read", "te_id", "feature", "ov", *carried])
 
     def search(self, batches: Iterator[pa.RecordBatch], kind: str, strands: bool, least: int, fraction: float) -> Iterator[pa.RecordBatch]:
-        """The ``hits`` or ``sets`` of batches."""
+        """The ``hits``, ``sets``, ``cells`` or ``features`` of batches."""
         for b in batches:
             yield getattr(self, kind)(b, strands, least, fraction)
 
     def sets(self, batch: pa.RecordBatch, strands: bool, least: int, fraction: float) -> pa.RecordBatch:
-        """(cb, umi, read, features): the distinct features that the reads of a batch meet in it, in order. ``batch`` as for ``met``."""
+        """The features distinct and in order that the reads of a batch meet in it, behind what tells reads apart: the columns before ``chrom``.
+        ``batch`` as for ``met``."""
+        by = batch.schema.names[: batch.schema.names.index("chrom")]
         row, interval, _ = self.met(batch, strands, least, fraction)
         of = np.zeros(batch.num_rows, np.int64)
-        for c in ("cb", "umi", "read"):  # numbered anew with each column, so that numbers stay below the rows' squared
+        for c in by:  # numbered anew with each column, so that numbers stay below the rows' squared
             held = batch.column(c).dictionary_encode()
             n = len(held.dictionary)
             of = np.unique(of * (n + 1) + pc.fill_null(held.indices, n).to_numpy(zero_copy_only=False), return_inverse=True)[1]
@@ -135,5 +137,17 @@ class IntervalIndex:
         head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else first
         ends = np.r_[0, np.cumsum(code >= 0)]  # null features do not count, their reads do
         offsets = pa.array(ends[np.r_[head, len(of)]], pa.int32())
-        keys = [batch.column(c).take(pa.array(row[head])) for c in ("cb", "umi", "read")]
-        return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(offsets, self.names.take(pa.array(code[code >= 0])))], ["cb", "umi", "read", "features"])
+        keys = [batch.column(c).take(pa.array(row[head])) for c in by]
+        return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(offsets, self.names.take(pa.array(code[code >= 0])))], [*by, "features"])
+
+    def cells(self, batch: pa.RecordBatch, strands: bool, least: int, fraction: float) -> pa.RecordBatch:
+        """(cb): the cells whose alignments in the batch meet something, once each."""
+        row, _, _ = self.met(batch, strands, least, fraction)
+        return pa.RecordBatch.from_arrays([batch.column("cb").take(pa.array(np.unique(row))).unique()], ["cb"])
+
+    def features(self, batch: pa.RecordBatch, strands: bool, least: int, fraction: float) -> pa.RecordBatch:
+        """(features): the features that the batch meets, in one row."""
+        _, interval, _ = self.met(batch, strands, least, fraction)
+        code = np.unique(self.codes[interval])
+        found = self.names.take(pa.array(code[code >= 0]))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["features"])

@@ -55,6 +55,26 @@ def read_sets(alignments: DataFrame, annotation: DataFrame, cfg: QuantConfig, *,
     return merged_sets(_searched(rows, te, cfg, "sets", schema))
 
 
+def met_cells(alignments: DataFrame, annotation: DataFrame, cfg: QuantConfig, *, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(cb) of the overlaps, distinct. No read is put together, nor shuffled."""
+    te, small = _measured(annotation, cfg, index_bytes)
+    if not small:
+        return binned_overlaps(alignments, te, cfg).select("cb").distinct()
+    return _searched(alignments.select("cb", *_place(cfg)), te, cfg, "cells", f"cb {dict(alignments.dtypes)['cb']}").distinct()
+
+
+def met_features(alignments: DataFrame, annotation: DataFrame, cfg: QuantConfig, *, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(features): sets that have all features of the overlaps between them. No read is put together, nor shuffled."""
+    te, small = _measured(annotation, cfg, index_bytes)
+    if not small:
+        return binned_overlaps(alignments, te, cfg).where("feature IS NOT NULL").select("feature").distinct().select(F.array("feature").alias("features"))
+    return _searched(alignments.select(*_place(cfg)), te, cfg, "features", f"features array<{dict(te.dtypes)['feature']}>")
+
+
+def _place(cfg: QuantConfig) -> list[str]:
+    return ["chrom", *["strand"] * (cfg.strandedness != "unstranded"), "blocks"]
+
+
 def _measured(annotation: DataFrame, cfg: QuantConfig, index_bytes: int) -> tuple[DataFrame, bool]:
     """(te_id, chrom, start, end, feature, wanted strand), and whether an index of it takes so many bytes at most."""
     te = annotation.where("start < end").select("te_id", "chrom", "start", "end", "feature", _wanted_strand(annotation, cfg).alias("strand"))

@@ -95,8 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_feature_sets": lambda s, d: _flat(_read_sets(s, d)),
     "mappings": lambda s, d: _flat(_maps(s, d)),
     "mappings_no_umi": lambda s, d: _flat(_maps(s, d, no_umi=True)),
-    "barcode_index": lambda s, d: mappings.barcode_index(_maps(s, d)),
-    "feature_index": lambda s, d: mappings.feature_index(_maps(s, d)),
+    "barcode_index": lambda s, d: mappings.barcode_index(overlap.met_cells(_valid(s, d), V.annotation(s, d), V.config())),
+    "feature_index": lambda s, d: mappings.feature_index(overlap.met_features(_valid(s, d), V.annotation(s, d), V.config())),
     "feature_index_locus": lambda s, d: _run(s, d, _loci(s, d), locus=True).features,
     "ec_index": lambda s, d: _flat(_ecs(s, d)),
     "umi_candidate_pairs": lambda s, d: umi_graph.candidate_pairs(_ecs(s, d)),

@@ -11,6 +11,7 @@ from tequant.operators import components, filters, mappings, overlap, umi_graph
 from tequant.operators import counts as C
 from tequant.operators.em_dataflow import settle
 from tequant.operators.interval_index import IntervalIndex
+from tequant.plans import catalog
 from tequant.plans import quantify as P
 from tequant.plans import testviews as V
 
@@ -151,6 +152,30 @@ def test_umis_of_one_base_go_whatever_their_length(spark):
     assert {r.umi for r in filters.valid_alignments(rows, V.config()).collect()} == {"AC", "CCCG", "TTA", "X", "XX", "AAAC"}
 
 
+def test_an_index_of_cells_or_features_puts_no_reads_together(spark):
+    te = spark.createDataFrame([(1, "c", 0, 50, "A", "+"), (2, "c", 90, 99, None, "+"), (3, "c", 200, 300, "B", "-")], "te_id long, chrom string, start long, end long, feature string, strand string")
+    rows = [(k, cb, "AC", f"r{k}", "c", "+", [(at, at + 30)]) for k, (cb, at) in enumerate((("x", 10), ("x", 10), ("y", 400), ("z", 85), ("w", 210)))]
+    rows = spark.createDataFrame(rows, "aid long, cb string, umi string, read string, chrom string, strand string, blocks array<struct<start:long,end:long>>")
+    for cfg in (QuantConfig(), QuantConfig(strandedness="forward")):
+        sets = mappings.read_features(overlap.overlaps(rows, te, cfg))
+        for size in (overlap.INDEX_BYTES, 0):
+            cells, features = overlap.met_cells(rows, te, cfg, index_bytes=size), overlap.met_features(rows, te, cfg, index_bytes=size)
+            assert sorted(r[0] for r in cells.collect()) == sorted(r[0] for r in sets.select("cb").distinct().collect())
+            assert {f for r in features.collect() for f in r[0]} == {f for r in sets.collect() for f in r["features"]}
+    for name in ("barcode_index", "feature_index"):
+        ids = catalog.QUERIES[name](spark, SF)
+        assert ids.count() and ids.columns[0] == name.replace("index", "idx")
+
+
+def test_neither_index_query_makes_classes(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("reads were put together")
+
+    for name in ("merged_sets", "read_features"):
+        monkeypatch.setattr(overlap, name, never)
+    assert catalog.QUERIES["barcode_index"](spark, SF).count() and catalog.QUERIES["feature_index"](spark, SF).count()
+
+
 def test_a_short_whitelist_goes_before_the_reads_are_told_apart(spark, monkeypatch):
     rows = lambda: filters.valid_alignments(V.alignments(spark, SF), V.config(), V.whitelist(spark).unionByName(spark.createDataFrame([(None,)], "cb string")))
     short = rows()
