@@ -201,3 +201,13 @@ def test_rows_of_the_same_place_are_searched_once(monkeypatch):
         want = [[k for k, m in enumerate(one) for _ in m[0]], [x for m in one for x in m[1].tolist()], [x for m in one for x in m[2].tolist()]]
         assert got == want and want[0] and total < sum(looked)
         looked.clear()
+
+
+def test_reads_without_umis_are_classes_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(mappings, "class_counts", lambda *_: 1 / 0)
+    monkeypatch.setattr(mappings, "numbered", lambda *_: 1 / 0)
+    maps = catalog._maps(spark, SF, no_umi=True)
+    plan = maps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.partition("MapInArrow")[0].count("Aggregate") == 1 and "read" not in plan.partition("MapInArrow")[2].partition("\n")[0]
+    monkeypatch.setattr(mappings, "equivalence_classes", lambda *_: 1 / 0)  # the fit asks for no numbers
+    assert catalog.QUERIES["em_stats_no_umi"](spark, SF).count() and maps.where("read_count <> 1").isEmpty()
