@@ -211,3 +211,15 @@ def test_reads_without_umis_are_classes_as_they_are(spark, monkeypatch):
     assert plan.partition("MapInArrow")[0].count("Aggregate") == 1 and "read" not in plan.partition("MapInArrow")[2].partition("\n")[0]
     monkeypatch.setattr(mappings, "equivalence_classes", lambda *_: 1 / 0)  # the fit asks for no numbers
     assert catalog.QUERIES["em_stats_no_umi"](spark, SF).count() and maps.where("read_count <> 1").isEmpty()
+
+
+def test_components_are_read_by_column_and_spread_over_more_tasks(spark):
+    fields = "ec_index int, features array<string>"
+    rows = [("x", [(3, ["A"]), (1, ["A", "B"]), (2, ["B"])], [(1, 3), (1, 2)]), ("y", [(7, ["C"]), (9, ["C"])], [(9, 7)]), ("z", [(0, ["A"]), (5, ["A"])], [(5, 0), (0, 5)])]
+    parts = spark.createDataFrame(rows, f"cb string, nodes array<struct<{fields.replace(' int', ':int').replace(' array', ':array').replace(', ', ',')}>>, links array<struct<src:int,dst:int>>").toArrow().combine_chunks().to_batches()[0]
+    want = [("x", 1, [1, 2, 3], ["A", "B"]), ("y", 9, [9, 7], ["C"]), ("z", 0, [0, 5], ["A"])]
+    for batch, first in ((parts, 0), (parts.slice(1), 1)):  # offsets of a slice do not begin at 0
+        assert [tuple(r.values()) for b in C._components(iter([batch])) for r in b.to_pylist()] == want[first:]
+    ecs = spark.createDataFrame([("x", i, u, ["A"], 1) for i, u in enumerate(("AC", "AG", "TT"))], "cb string, ec_index int, umi string, features array<string>, read_count int")
+    plan = C.molecules(ecs)._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[2]
+    assert int(plan.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 16 * spark.sparkContext.defaultParallelism
