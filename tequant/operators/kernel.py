@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 
 EPS = float(np.finfo(np.float64).eps)
 #: Bits of a table (node by cover) up to which covers are weighed at once; there are about three such tables.
@@ -35,6 +37,39 @@ def components(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
+def _places(umis: list[str]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """For each length of a UMI and each place in it: those that reach the length, and what they have there without that place."""
+    for n in sorted({len(u) for u in umis}):
+        reach = [k for k, u in enumerate(umis) if len(u) >= n]
+        for p in range(max(n, 1)):
+            yield n, reach, [umis[k][:p] + "_" + umis[k][p + 1 : n] for k in reach]
+
+
+def bound(umis: list[str], reads: np.ndarray) -> list[int]:
+    """The smallest node of each node's component, for classes that have a feature in common.
+
+    Of two classes that meet under a place one may have given rise to the other if it has 2 * n - 1 reads or more, n being the other's. Links
+    with the class of most reads there and with that of fewest do for all: if a may have given rise to b, so may the one of most reads, and a
+    to the one of fewest. UMIs that end at the place's length meet all there, longer ones those alone.
+    """
+    size, links = np.array([len(u) for u in umis]), []
+    rising = np.argsort(reads, kind="stable")
+    for n, reach, keys in _places(umis):
+        code = np.full(len(umis), -1)
+        code[reach], names = pd.factorize(np.array(keys, object))
+        ends, longer = size == n, size > n
+        for side, other in ((ends, ends), (ends, longer), (longer, ends)):
+            mine = np.flatnonzero(side)
+            for order in (rising, rising[::-1]):
+                of_key, held = np.full(len(names), -1), order[other[order]]
+                of_key[code[held]] = held  # the last one of a key stays: of most reads, then of fewest
+                best = of_key[code[mine]]
+                a, b = mine[best >= 0], best[best >= 0]
+                linked = (a != b) & ((reads[a] >= 2 * reads[b] - 1) | (reads[b] >= 2 * reads[a] - 1))
+                links += zip(a[linked].tolist(), b[linked].tolist(), strict=True)
+    return components(len(umis), links)
+
+
 def _cover(start: int, nodes: list[int], out: dict[int, list[int]], features: list[frozenset]) -> list[list[int]]:
     """Splits the nodes, `start` first, into what each root still reaches through nodes that share a feature with it."""
     left, found = set(nodes), []

@@ -7,16 +7,19 @@ entered under the lengths of its cell that it reaches, and a pair counts under t
 
 Pairs are as many as they are, but nothing of their number is shuffled or held: candidates come from lists of classes of one UMI, LIST at
 most, and links are judged where a pair is met, by features that came along with the places. What asks only whether a class has a
-link is answered from sums by (place, feature) without any pair.
+link is answered from sums by (place, feature) without any pair, and what asks for components alone gets links that bind the same classes
+together, one for each class and feature.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tequant.operators import kernel
 from tequant.operators.mappings import BESIDE
-from tequant.staging import cut
+from tequant.staging import cut, waves
 
 BLANK = "_"
 LIST = 4096
@@ -65,6 +68,21 @@ def edges(ecs: DataFrame) -> DataFrame:
     return pairs.select("cb", F.explode(F.array_compact(F.array(ends("i", "j"), ends("j", "i")))).alias("e")).select("cb", "e.src", "e.dst")
 
 
+def _bind(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(cb, src, dst) from the least class of each component of a cell's classes with a feature to its other classes."""
+    pdf = pdf.sort_values("ec_index")
+    index = pdf["ec_index"].to_numpy()
+    top = index[kernel.bound(pdf["umi"].tolist(), pdf["read_count"].to_numpy())]
+    return pd.DataFrame({"cb": pdf["cb"].iloc[0], "src": top, "dst": index})[top != index]
+
+
+def binding_links(ecs: DataFrame) -> DataFrame:
+    """(cb, src, dst), with the same weak components as ``edges`` and no more rows than classes have features. A group is the classes of a
+    cell with one feature, and its work is in proportion to its rows."""
+    rows = ecs.select("cb", F.explode(F.array_distinct("features")).alias("feature"), "ec_index", "umi", "read_count")
+    return rows.repartition(waves(ecs.sparkSession), "cb", "feature").groupBy("cb", "feature").applyInPandas(_bind, "cb string, src int, dst int")
+
+
 def parents(ecs: DataFrame) -> DataFrame:
     """(cb, ec_index) of the classes that no other class may have given rise to.
 

@@ -223,3 +223,10 @@ def test_components_are_read_by_column_and_spread_over_more_tasks(spark):
     ecs = spark.createDataFrame([("x", i, u, ["A"], 1) for i, u in enumerate(("AC", "AG", "TT"))], "cb string, ec_index int, umi string, features array<string>, read_count int")
     plan = C.molecules(ecs)._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[2]
     assert int(plan.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 16 * spark.sparkContext.defaultParallelism
+
+
+def test_binding_links_have_the_components_of_all_links(spark):
+    ecs, _, links = _classes(spark)
+    full = spark.createDataFrame(links, "cb string, src int, dst int")
+    a, b = (sorted(map(tuple, C.component_labels(ecs, x).collect())) for x in (None, full))
+    assert a == b and umi_graph.binding_links(ecs.limit(0)).collect() == []

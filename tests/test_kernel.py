@@ -139,3 +139,23 @@ def test_covers_weighed_in_several_parts(monkeypatch):
     rng = random.Random(12)
     args = some_graph(rng, 400, 2, 9, 3, 0.2)
     assert [(u.root, tuple(sorted(u.members)), u.features) for u in K.molecules(*args)] == plain_molecules(*args)
+
+
+def some_classes(rng, n, n_features, lengths):
+    """(UMIs, features, reads) of classes, and their links by comparing all."""
+    umis = ["".join(rng.choice("AC") for _ in range(rng.choice(lengths))) for _ in range(n)]
+    features = [frozenset(rng.sample(range(n_features), rng.randint(1, min(3, n_features)))) for _ in range(n)]
+    reads = [rng.choice((1, 1, 2, 3, 4, 5, 9, 20)) for _ in range(n)]
+    return umis, features, reads, cell(*zip(umis, features, reads, strict=True))[1]
+
+
+@pytest.mark.parametrize("lengths", [(5,), (4, 5, 6), (0, 1, 3, 9)])
+def test_links_of_a_component_and_what_binds_it(lengths):
+    rng = random.Random(21)
+    for n in (1, 2, 5, 20, 60) * 8:
+        umis, features, reads, links = some_classes(rng, n, rng.choice((1, 2, 6)), lengths)
+        for f in set().union(*features):
+            with_f = [k for k in range(n) if f in features[k]]
+            place = {k: i for i, k in enumerate(with_f)}
+            want = K.components(len(with_f), [(place[a], place[b]) for a, b in links if a in place and b in place])
+            assert K.bound([umis[k] for k in with_f], np.array([reads[k] for k in with_f])) == want
