@@ -225,6 +225,18 @@ def test_components_are_read_by_column_and_spread_over_more_tasks(spark):
     assert int(plan.partition("RepartitionByExpression")[2].partition("], ")[2].split()[0]) >= 16 * spark.sparkContext.defaultParallelism
 
 
+def test_components_and_molecules_write_no_links_of_pairs(spark, monkeypatch):
+    """400 classes of one feature that all meet, and 79,800 links."""
+    rows = [("x", i, "ACGT", ["A", f"B{i}"], 1) for i in range(400)]
+    ecs = spark.createDataFrame(rows, "cb string, ec_index int, umi string, features array<string>, read_count int")
+    assert umi_graph.edges(ecs).count() == 400 * 399 and umi_graph.binding_links(ecs).count() == 399
+    monkeypatch.setattr(umi_graph, "edges", lambda *_: 1 / 0)
+    monkeypatch.setattr(C, "edges", lambda *_: 1 / 0)
+    assert {r.component for r in C.component_labels(ecs, few=0).collect()} == {0}
+    found = C.molecules(ecs).collect()
+    assert [len(r.members) for r in found] == [400] and len(found[0].features) == 401
+
+
 def test_binding_links_have_the_components_of_all_links(spark):
     ecs, _, links = _classes(spark)
     full = spark.createDataFrame(links, "cb string, src int, dst int")

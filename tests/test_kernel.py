@@ -154,6 +154,9 @@ def test_links_of_a_component_and_what_binds_it(lengths):
     rng = random.Random(21)
     for n in (1, 2, 5, 20, 60) * 8:
         umis, features, reads, links = some_classes(rng, n, rng.choice((1, 2, 6)), lengths)
+        names = [3 * k + 1 for k in range(n)]
+        found = K.given_rise(names, dict(zip(names, features, strict=True)), umis, reads)
+        assert [((a - 1) // 3, (b - 1) // 3) for a, bs in found.items() for b in bs] == sorted(links)
         for f in set().union(*features):
             with_f = [k for k in range(n) if f in features[k]]
             place = {k: i for i, k in enumerate(with_f)}
